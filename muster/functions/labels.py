@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 
 def matches(labels: Column, selector: Mapping[str, str]) -> Column:
-    """Whether ``labels`` contains every pair of ``selector``; the empty selector takes all."""
-    pairs = [F.coalesce(labels[k] == v, F.lit(False)) for k, v in selector.items()]
+    """True where ``labels`` contains every pair of ``selector``; the empty selector takes
+    all. Null, not false, where a label is missing: so a filter on it can reach the scan."""
+    pairs = [labels[k] == v for k, v in selector.items()]
     return reduce(lambda a, b: a & b, pairs, F.lit(True))
 
 

@@ -44,6 +44,7 @@ def claim_action(
     matches, else released unless the owner is being deleted. An orphan is adopted if the
     owner is not being deleted, it matches and it is not terminating.
     """
+    match = F.coalesce(match, F.lit(False))
     owned = (
         F.when(ref_uid != owner_uid, "ignored_foreign")
         .when(match, "owned")
