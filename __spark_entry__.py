@@ -193,8 +193,7 @@ def owner_resolution(spark, sf_dir):
                 when ref_uid is not null and is_match then 'owned'
                 when ref_uid is not null and deleting then 'ignored_deleting'
                 when ref_uid is not null then 'release'
-                when deleting then 'ignored_deleting'
-                when not is_match then 'ignored'
+                when deleting or not is_match then 'ignored'
                 when terminating then 'ignored_terminating'
                 else 'adopt' end as action
     from pairs""")
@@ -468,11 +467,15 @@ def _event_stream(spark, sf_dir):
 @query(TIMELINE_SQL)
 def condition_stream(spark, sf_dir):
     """The same from a stream with state per object; the last list of each object."""
-    target, checkpoint = shared_folder(spark, "conditions"), shared_folder(spark, "checkpoint")
-    lists = streams.stream_condition_lists(
-        _reports(_event_stream(spark, sf_dir)), ["user_id"], ["ts", "event_id"]
-    )
-    feeds.write_batches(lists, target, checkpoint).awaitTermination()
+    summaries, target = (shared_folder(spark, x) for x in ("summaries", "conditions"))
+    checkpoints = [shared_folder(spark, "checkpoint") for _ in range(2)]
+    reports = _reports(_event_stream(spark, sf_dir))
+    streams.write_report_summaries(
+        reports, ["user_id"], ["ts", "event_id"], summaries, checkpoints[0]
+    ).awaitTermination()
+    arriving = streams.read_report_summaries(reports.sparkSession, summaries, "user_id BIGINT")
+    lists = streams.stream_condition_lists(arriving, ["user_id"])
+    feeds.write_batches(lists, target, checkpoints[1]).awaitTermination()
     history = feeds.read_batches(spark, target, lists.schema)
     rows = condition_rows(streams.latest_lists(history, ["user_id"]), ["user_id"])
     plain = {c: F.col(c).cast("timestamp_ntz") for c in ("last_update", "last_transition")}

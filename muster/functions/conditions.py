@@ -42,13 +42,3 @@ def current_type(conditions: Column) -> Column:
 def age_seconds(since: Column, as_of: Column) -> Column:
     """Whole seconds from ``since`` to ``as_of``."""
     return F.timestamp_diff("SECOND", since, as_of)
-
-
-def ready_conditions(conditions: Column) -> Column:
-    """How many conditions say Ready=True."""
-    return F.coalesce(
-        F.size(
-            F.filter(conditions, lambda c: (c["type"] == "Ready") & (c["status"] == "True"))
-        ),
-        F.lit(0),
-    )

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Digits that cover every index below 2 ** 41 (base 2) and 3 ** 30 (base 3). The mirrored
+# Digits handled by one table lookup, per base: the tables have 256 and 243 entries.
+CHUNK = {2: 8, 3: 5}
+# Six chunks cover every index below 2 ** 48 (base 2) and 3 ** 30 (base 3). The mirrored
 # numbers stay below 2 ** 53, so the one division at the end is exact or correctly rounded.
-DEFAULT_DIGITS = {2: 41, 3: 30}
+MAX_CHUNKS = 6
 
 
 def digits_for(largest: int, base: int) -> int:
@@ -17,14 +20,28 @@ def digits_for(largest: int, base: int) -> int:
     return count
 
 
-def radical_inverse(index: str, base: int, digits: int | None = None):
+def _mirror(number: int, base: int, digits: int) -> int:
+    """``number`` with its ``digits`` base-``base`` digits in reverse order."""
+    mirrored = 0
+    for _ in range(digits):
+        number, digit = divmod(number, base)
+        mirrored = mirrored * base + digit
+    return mirrored
+
+
+def radical_inverse(index: str, base: int, largest: int | None = None) -> Column:
     """Column ``index`` mirrored at the radix point: 6 = 110 in base 2 becomes 0.011 = 0.375.
 
-    ``digits`` must cover the largest index; fewer digits make a shorter expression.
+    A few digits at a time are mirrored through a literal table, which keeps the expression
+    small enough to be compiled. ``largest`` bounds the index and so the number of chunks.
     """
-    digits = digits or DEFAULT_DIGITS[base]
-    places = [
-        f"(({index} div {base**place}) % {base}) * {base ** (digits - 1 - place)}"
-        for place in range(digits)
-    ]
-    return F.expr(f"({' + '.join(places)}) / double({base**digits})")
+    width = CHUNK[base]
+    chunks = -(-digits_for(largest, base) // width) if largest else MAX_CHUNKS
+    size = base**width
+    # One literal as text: building it from single columns takes seconds on the driver.
+    table = F.expr(f"array({', '.join(f'{_mirror(n, base, width)}L' for n in range(size))})")
+    mirrored = F.lit(0).cast("bigint")
+    for k in range(chunks):
+        chunk = F.call_function("div", F.col(index), F.lit(size**k).cast("bigint")) % size
+        mirrored = mirrored + F.get(table, chunk.cast("int")) * F.lit(size ** (chunks - 1 - k))
+    return mirrored / F.lit(float(size**chunks))

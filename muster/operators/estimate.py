@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.functions.halton import digits_for, radical_inverse
+from muster.functions.halton import radical_inverse
 
 
 def halton_points(indexes: DataFrame, index: str, largest: int | None = None) -> DataFrame:
@@ -13,11 +13,10 @@ def halton_points(indexes: DataFrame, index: str, largest: int | None = None) ->
 
     ``largest`` is an upper bound of the index; knowing it shortens the expressions.
     """
-    digits = {base: digits_for(largest, base) if largest else None for base in (2, 3)}
     return indexes.select(
         index,
-        radical_inverse(index, 2, digits[2]).alias("x"),
-        radical_inverse(index, 3, digits[3]).alias("y"),
+        radical_inverse(index, 2, largest).alias("x"),
+        radical_inverse(index, 3, largest).alias("y"),
     )
 
 

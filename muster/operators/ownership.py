@@ -41,8 +41,9 @@ def claim_action(
     """What an owner does about one object; ``match`` is its selector on that object.
 
     An object controlled by someone else is ignored. One's own object is kept while it
-    matches, else released unless the owner is being deleted. An orphan is adopted if the
-    owner is not being deleted, it matches and it is not terminating.
+    matches, else released unless the owner is being deleted (``ignored_deleting``). An
+    orphan is ignored if the owner is being deleted or does not match it, or if it is
+    itself terminating (``ignored_terminating``), else adopted.
     """
     match = F.coalesce(match, F.lit(False))
     owned = (
@@ -52,8 +53,7 @@ def claim_action(
         .otherwise("release")
     )
     orphan = (
-        F.when(owner_deleting, "ignored_deleting")
-        .when(~match, "ignored")
+        F.when(owner_deleting | ~match, "ignored")
         .when(terminating, "ignored_terminating")
         .otherwise("adopt")
     )

@@ -7,16 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.functions.conditions import ready_conditions
-
-
-def active_units(
-    phase: Column, conditions: Column, deleting: Column
-) -> Column:
-    """What one object adds to its role's active count: one per Ready=True condition of a
-    Running object that is not being deleted."""
-    return F.when((phase == "Running") & ~deleting, ready_conditions(conditions)).otherwise(0)
-
 
 def active_replicas(
     owners: DataFrame,
@@ -24,29 +14,28 @@ def active_replicas(
     on: Sequence[str],
     roles: Sequence[str],
     role: str = "role",
-    units: Column | None = None,
+    phase: str = "phase",
+    conditions: str = "conditions",
+    deleted_at: str = "deleted_at",
 ) -> DataFrame:
     """``(*owner columns, role, active)`` for every owner and every role, zero included.
 
-    One counter per role and owner is summed before the shuffle, so the shuffle carries
-    one row per owner and map task however many objects an owner has; the join adds none
-    when both sides are partitioned by the owner. ``owners`` is unique under ``on``.
+    A Running object that is not being deleted adds one per Ready=True condition. One
+    counter per role and owner is summed before the shuffle, so the shuffle carries one
+    row per owner and map task however many objects an owner has; the join adds none when
+    both sides are partitioned by the owner. ``owners`` is unique under ``on``.
     """
-    if units is None:
-        units = active_units(
-            F.col("phase"), F.col("conditions"), F.col("deleted_at").isNotNull()
-        )
     counters = {r: f"_active_{i}" for i, r in enumerate(roles)}
     counted = (
-        objects.select(*on, F.col(role).alias("_role"), units.cast("bigint").alias("_units"))
-        .where((F.col("_units") > 0) & F.col("_role").isin(*roles))
-        .groupBy(*on)
-        .agg(
-            *[
-                F.sum(F.when(F.col("_role") == r, F.col("_units"))).alias(c)
-                for r, c in counters.items()
-            ]
+        objects.where(
+            (F.col(phase) == "Running")
+            & F.col(deleted_at).isNull()
+            & F.col(role).isin(*roles)
         )
+        .select(*on, F.col(role).alias("_role"), F.explode(conditions).alias("_condition"))
+        .where((F.col("_condition.type") == "Ready") & (F.col("_condition.status") == "True"))
+        .groupBy(*on)
+        .agg(*[F.count_if(F.col("_role") == r).alias(c) for r, c in counters.items()])
     )
     per_role = F.array(
         *[

@@ -11,7 +11,7 @@ from muster.functions.conditions import CLUSTER_TYPES
 from muster.plans.slices import MIN_ROWS, with_previous
 
 
-def condition_lists(
+def report_summaries(
     reports: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
@@ -19,16 +19,14 @@ def condition_lists(
     type_: str = "type",
     reason: str = "reason",
     message: str | None = None,
-    reconfiguring: str | None = "Reconfiguring",
-    running: str = "Running",
     min_rows: int = MIN_ROWS,
 ) -> DataFrame:
-    """``(*keys, conditions)``: each object's condition list after all its reports.
+    """``(*keys, entries)``: what matters of each object's log, one row per object.
 
-    A report is void if its type is currently True with the same reason. Otherwise that
-    type becomes True and goes last, and all others become False; its last transition
-    stays if it was True already (only the reason changed). A ``reconfiguring`` report
-    removes ``running`` (None: nothing is removed, as for applications).
+    Per type, in the order of their last valid report: ``type, reason, message`` and
+    ``updated`` (time) of that report, and ``since``, when the type last became True.
+    ``only_first`` and ``from_first`` say that the report, or that moment, is the first of
+    the log: these depend on what came before, if the log continues another one.
 
     Exactly one type is True at any time, that of the preceding report, so comparing each
     report with its predecessor is enough, and the rest are maxima per type: one shuffle of
@@ -45,10 +43,11 @@ def condition_lists(
             "_type": F.when(F.col(type_).isin(*types), F.col(type_)).otherwise(
                 F.raise_error(F.concat(F.lit("unknown condition type "), F.col(type_)))
             ),
+            "_at": F.struct(*order),
             "_report": F.when(
                 ~was_same, F.struct(*order, F.col(reason).alias("_reason"), text.alias("_text"))
             ),
-            "_start": F.when(~was_type, F.col(time)),
+            "_start": F.when(~was_type, F.struct(*order)),
         }
     )
 
@@ -58,42 +57,75 @@ def condition_lists(
     latest = {k: f"_latest_{i}" for i, k in enumerate(types)}
     starts = {k: f"_start_{i}" for i, k in enumerate(types)}
     state = log.groupBy(*keys).agg(
-        F.max("_report").alias("_last"),
+        F.min("_at").alias("_first"),
         *[of(k, "_report").alias(c) for k, c in latest.items()],
         *[of(k, "_start").alias(c) for k, c in starts.items()],
     )
 
-    def position(struct: str) -> Column:
-        return F.struct(*[F.col(f"{struct}.{c}").alias(f"o{i}") for i, c in enumerate(order)])
-
-    def condition(kind: str) -> Column:
-        report = latest[kind]
-        kept = F.col(report).isNotNull()
-        if kind == running and reconfiguring in types:
-            later = latest[reconfiguring]
-            kept &= ~F.coalesce(position(later) > position(report), F.lit(False)) | F.col(
-                later
-            ).isNull()
+    def entry(kind: str) -> Column:
+        report, start = F.col(latest[kind]), F.col(starts[kind])
+        at = F.struct(*[report[c].alias(c) for c in order])
         return F.when(
-            kept,
+            report.isNotNull(),
             F.struct(
-                position(report).alias("at"),
+                at.alias("at"),
                 F.struct(
                     F.lit(kind).alias("type"),
-                    F.when(position(report) == position("_last"), "True")
-                    .otherwise("False")
-                    .alias("status"),
-                    F.col(f"{report}._reason").alias("reason"),
-                    F.col(f"{report}._text").alias("message"),
-                    F.col(f"{report}.{time}").alias("last_update"),
-                    F.col(starts[kind]).alias("last_transition"),
-                ).alias("condition"),
+                    report["_reason"].alias("reason"),
+                    report["_text"].alias("message"),
+                    report[time].alias("updated"),
+                    start[time].alias("since"),
+                    (at == F.col("_first")).alias("only_first"),
+                    (start == F.col("_first")).alias("from_first"),
+                ).alias("entry"),
             ),
         )
 
-    present = F.array_compact(F.array(*[condition(k) for k in types]))
-    ordered = F.transform(F.array_sort(present), lambda c: c["condition"])
-    return state.select(*keys, ordered.alias("conditions"))
+    present = F.array_sort(F.array_compact(F.array(*[entry(k) for k in types])))
+    return state.select(*keys, F.transform(present, lambda e: e["entry"]).alias("entries"))
+
+
+def condition_lists(
+    reports: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    types: Sequence[str] = CLUSTER_TYPES,
+    type_: str = "type",
+    reason: str = "reason",
+    message: str | None = None,
+    reconfiguring: str | None = "Reconfiguring",
+    running: str = "Running",
+    min_rows: int = MIN_ROWS,
+) -> DataFrame:
+    """``(*keys, conditions)``: each object's condition list after all its reports.
+
+    A report is void if its type is currently True with the same reason. Otherwise that
+    type becomes True and goes last, and all others become False; its last transition
+    stays if it was True already (only the reason changed). A ``reconfiguring`` report
+    removes ``running`` (None: nothing is removed, as for applications).
+    """
+    found = report_summaries(reports, keys, order, types, type_, reason, message, min_rows)
+    kinds = F.transform("entries", lambda e: e["type"])
+    removed = F.lit(False)
+    if reconfiguring is not None:
+        removed = F.array_position(kinds, reconfiguring) > F.array_position(kinds, running)
+    kept = F.filter("entries", lambda e: (e["type"] != running) | ~F.col("_removed"))
+    conditions = F.transform(
+        "_kept",
+        lambda e, i: F.struct(
+            e["type"].alias("type"),
+            F.when(i == F.size("_kept") - 1, "True").otherwise("False").alias("status"),
+            e["reason"].alias("reason"),
+            e["message"].alias("message"),
+            e["updated"].alias("last_update"),
+            e["since"].alias("last_transition"),
+        ),
+    )
+    return (
+        found.withColumn("_removed", removed)
+        .withColumn("_kept", kept)
+        .select(*keys, conditions.alias("conditions"))
+    )
 
 
 def condition_rows(lists: DataFrame, keys: Sequence[str]) -> DataFrame:

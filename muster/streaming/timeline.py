@@ -1,35 +1,98 @@
-"""Condition lists kept up to date from a stream of reports."""
+"""Condition lists kept up to date from a stream of reports.
+
+Two hops, so that an object with very many reports never meets in one task. The first is
+stateless: it reduces each micro-batch of reports to one summary per object with the batch
+operator, which slices hot logs. The second keeps one state row per object and merges the
+summaries into it: a handful of rows per object and batch.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from muster.functions.conditions import CLUSTER_TYPES
+from muster.operators.timeline import report_summaries
+from muster.plans.slices import MIN_ROWS
+from muster.streaming.feed import write_batches
 
 if TYPE_CHECKING:
     import pandas as pd
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+_SUMMARY = (
+    "rank INT, type STRING, reason STRING, message STRING, updated BIGINT, since BIGINT, "
+    "only_first BOOLEAN, from_first BOOLEAN"
+)
+
+
+def write_report_summaries(
+    reports: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    path: str,
+    checkpoint: str,
+    types: Sequence[str] = CLUSTER_TYPES,
+    type_: str = "type",
+    reason: str = "reason",
+    message: str | None = None,
+    min_rows: int = MIN_ROWS,
+) -> StreamingQuery:
+    """First hop: per micro-batch and object, the entries of
+    :func:`muster.operators.timeline.report_summaries`, written under ``path/batch=<id>``.
+
+    Within a micro-batch reports are put in ``order`` (a TIMESTAMP column and a unique id);
+    micro-batches count in arrival order. A report that arrives in a later batch than its
+    successor is taken as new: there is no event-time rule.
+    """
+
+    def summarize(batch: DataFrame) -> DataFrame:
+        found = report_summaries(batch, keys, order, types, type_, reason, message, min_rows)
+        rows = found.select(*keys, F.posexplode("entries").alias("rank", "_entry"))
+        micros = {c: F.unix_micros(f"_entry.{c}").alias(c) for c in ("updated", "since")}
+        plain = ("type", "reason", "message")
+        flags = ("only_first", "from_first")
+        return rows.select(
+            *keys,
+            "rank",
+            *[f"_entry.{c}" for c in plain],
+            *micros.values(),
+            *[f"_entry.{c}" for c in flags],
+        )
+
+    return write_batches(reports, path, checkpoint, summarize, mode="append")
+
+
+def read_report_summaries(
+    spark: SparkSession, path: str, key_schema: str, files_per_batch: int | None = None
+) -> DataFrame:
+    """What the first hop writes, as a stream. ``key_schema`` is the DDL of the keys."""
+    reader = spark.readStream.schema(f"{key_schema}, {_SUMMARY}, batch BIGINT")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
+
 
 def _processor(
-    key_schema: dict[str, str],
+    key_names: Sequence[str],
     types: Sequence[str],
     reconfiguring: str | None,
     running: str,
 ) -> StatefulProcessor:
     """Built in a function so that it travels to the workers by value."""
-    kinds = list(types)
-    state_schema = "seq BIGINT, " + ", ".join(
-        f"at{i} BIGINT, updated{i} BIGINT, since{i} BIGINT, reason{i} STRING, message{i} STRING"
-        for i in range(len(kinds))
+    names, kinds = list(key_names), list(types)
+    # Per type: batch and rank of its report, its time, the transition, reason, message.
+    fields = ("batch", "rank", "updated", "since", "reason", "message")
+    ddl = ("BIGINT", "INT", "BIGINT", "BIGINT", "STRING", "STRING")
+    state_schema = "batch BIGINT, " + ", ".join(
+        f"{field}{i} {kind}" for i in range(len(kinds)) for field, kind in zip(fields, ddl)
     )
-    key_names = list(key_schema)
+    width = len(fields)
 
     class ConditionProcessor(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
@@ -38,67 +101,59 @@ def _processor(
         def handleInputRows(
             self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object
         ) -> Iterator[pd.DataFrame]:
-            import numpy as np
             import pandas as pd
 
-            stored = self.state.get()
-            seq = stored[0] if stored else 0
-            # type -> [position, updated, since, reason, message]
+            stored = self.state.get() or [-1] + [None] * (width * len(kinds))
+            done = stored[0]
             held = {
-                kind: list(stored[1 + 5 * i : 6 + 5 * i])
+                kind: dict(zip(fields, stored[1 + i * width : 1 + (i + 1) * width]))
                 for i, kind in enumerate(kinds)
-                if stored and stored[1 + 5 * i] is not None
+                if stored[1 + i * width] is not None
             }
-            current = max(held, key=lambda k: held[k][0]) if held else None
-
-            log = pd.concat(list(rows), ignore_index=True)
-            log = log.sort_values(["micros", "id"], kind="stable")
-            kind = log["type"].to_numpy(dtype=object)
-            reason = log["reason"].to_numpy(dtype=object)
-            message = log["message"].to_numpy(dtype=object)
-            micros = log["micros"].to_numpy()
-            before_kind = np.concatenate(([current], kind[:-1]))
-            before_reason = np.concatenate(
-                ([held[current][3] if current is not None else None], reason[:-1])
-            )
-            starts = kind != before_kind
-            counts = starts | (reason != before_reason)
-
-            for name in kinds:
-                of_kind = kind == name
-                kept = np.flatnonzero(counts & of_kind)
-                if not len(kept):
+
+            def place(kind: str) -> tuple:
+                return held[kind]["batch"], held[kind]["rank"]
+
+            entries = [row for chunk in rows for row in chunk.to_dict("records")]
+            entries.sort(key=lambda row: (row["batch"], row["rank"]))
+            current, batch = None, None
+            for row in entries:
+                # A batch that was written twice counts once.
+                if row["batch"] <= done:
                     continue
-                last = kept[-1]
-                begun = np.flatnonzero(starts & of_kind)
-                since = int(micros[begun[-1]]) if len(begun) else held[name][2]
-                held[name] = [
-                    seq + int(last) + 1, int(micros[last]), since, reason[last], message[last]
-                ]
+                if row["batch"] != batch:
+                    batch = row["batch"]
+                    current = max(held, key=place) if held else None
+                kind, since = row["type"], row["since"]
+                if current == kind:
+                    if row["only_first"] and held[kind]["reason"] == row["reason"]:
+                        continue
+                    if row["from_first"]:
+                        since = held[kind]["since"]
+                held[kind] = {field: row[field] for field in fields} | {"since": since}
             if (
                 reconfiguring in held
                 and running in held
-                and held[reconfiguring][0] > held[running][0]
+                and place(reconfiguring) > place(running)
             ):
                 del held[running]
 
-            empty = [None] * 5
-            flat = [value for name in kinds for value in held.get(name, empty)]
-            self.state.update((seq + len(log), *flat))
+            flat = [held.get(kind, {}).get(field) for kind in kinds for field in fields]
+            self.state.update((max(done, entries[-1]["batch"]), *flat))
 
-            order = sorted(held, key=lambda k: held[k][0])
+            listed = sorted(held, key=place)
             conditions = [
                 {
-                    "type": name,
-                    "status": "True" if name == order[-1] else "False",
-                    "reason": held[name][3],
-                    "message": held[name][4],
-                    "last_update": held[name][1],
-                    "last_transition": held[name][2],
+                    "type": kind,
+                    "status": "True" if kind == listed[-1] else "False",
+                    "reason": held[kind]["reason"],
+                    "message": held[kind]["message"],
+                    "last_update": held[kind]["updated"],
+                    "last_transition": held[kind]["since"],
                 }
-                for name in order
+                for kind in listed
             ]
-            out = {name: [value] for name, value in zip(key_names, key)}
+            out = {name: [value] for name, value in zip(names, key)}
             yield pd.DataFrame({**out, "conditions": [conditions]})
 
         def close(self) -> None:
@@ -108,47 +163,23 @@ def _processor(
 
 
 def stream_condition_lists(
-    reports: DataFrame,
+    summaries: DataFrame,
     keys: Sequence[str],
-    order: Sequence[str],
     types: Sequence[str] = CLUSTER_TYPES,
-    type_: str = "type",
-    reason: str = "reason",
-    message: str | None = None,
     reconfiguring: str | None = "Reconfiguring",
     running: str = "Running",
 ) -> DataFrame:
-    """The full condition list of every object a micro-batch touches (update mode).
-
-    The rules are those of :func:`muster.operators.timeline.condition_lists`. Reports count
-    in arrival order; within a micro-batch they are put in ``order`` (a TIMESTAMP column and
-    a unique id). A report that arrives in a later batch than its successor is taken as
-    new, there is no event-time rule. State is one row per object. A task holds the rows
-    of one object and one micro-batch at a time, so bound the batch at the source
-    (``maxFilesPerTrigger``, ``maxBytesPerTrigger``). Needs the RocksDB state store.
-    """
-    time, ident = order
-    text = F.col(message) if message else F.lit(None).cast("string")
-    checked = F.when(F.col(type_).isin(*types), F.col(type_)).otherwise(
-        F.raise_error(F.concat(F.lit("unknown condition type "), F.col(type_)))
-    )
-    rows = reports.select(
-        *keys,
-        F.unix_micros(time).alias("micros"),
-        F.col(ident).alias("id"),
-        checked.alias("type"),
-        F.col(reason).alias("reason"),
-        text.alias("message"),
-    )
-    key_schema = {k: rows.schema[k].dataType.simpleString() for k in keys}
+    """Second hop: the full condition list of every object a micro-batch touches (update
+    mode), by the rules of :func:`muster.operators.timeline.condition_lists`. State is one
+    row per object. Needs the RocksDB state store."""
     condition = (
         "array<struct<type:string,status:string,reason:string,message:string,"
         "last_update:bigint,last_transition:bigint>>"
     )
-    schema = ", ".join([*(f"`{k}` {t}" for k, t in key_schema.items()), f"conditions {condition}"])
-    lists = rows.groupBy(*keys).transformWithStateInPandas(
-        _processor(key_schema, types, reconfiguring, running),
-        outputStructType=schema,
+    key_ddl = [f"`{k}` {summaries.schema[k].dataType.simpleString()}" for k in keys]
+    lists = summaries.groupBy(*keys).transformWithStateInPandas(
+        _processor(keys, types, reconfiguring, running),
+        outputStructType=", ".join([*key_ddl, f"conditions {condition}"]),
         outputMode="Update",
         timeMode="None",
     )

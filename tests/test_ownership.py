@@ -14,7 +14,8 @@ CLAIMS = [
     (1, True, True, True, "owned"),
     (1, False, False, False, "release"),
     (1, False, True, False, "ignored_deleting"),
-    (None, True, True, False, "ignored_deleting"),
+    (None, True, True, False, "ignored"),
+    (None, True, True, True, "ignored"),
     (None, False, False, False, "ignored"),
     (None, True, False, True, "ignored_terminating"),
     (None, True, False, False, "adopt"),

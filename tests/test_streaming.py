@@ -48,39 +48,74 @@ def folded(data):
     return {obj: fold_conditions(log) for obj, log in logs.items()}
 
 
-def run(rocks, source, target, checkpoint):
+def run(rocks, source, work, min_rows=10):
+    """Both hops over what has arrived; three of the files per micro-batch of the second."""
     stream = (
         rocks.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
     )
-    lists = streams.stream_condition_lists(stream, ["obj"], ["ts", "id"], message="message")
-    feeds.write_batches(lists, target, checkpoint).awaitTermination()
-    return streams.latest_lists(feeds.read_batches(rocks, target, lists.schema), ["obj"])
+    summaries = f"{work}/summaries"
+    streams.write_report_summaries(
+        stream, ["obj"], ["ts", "id"], summaries, f"{work}/c1", message="message",
+        min_rows=min_rows,
+    ).awaitTermination()
+    arriving = streams.read_report_summaries(rocks, summaries, "obj BIGINT", files_per_batch=3)
+    lists = streams.stream_condition_lists(arriving, ["obj"])
+    feeds.write_batches(lists, f"{work}/out", f"{work}/c2").awaitTermination()
+    return streams.latest_lists(
+        feeds.read_batches(rocks, f"{work}/out", lists.schema), ["obj"]
+    )
 
 
-def test_batches_and_a_restart_give_the_fold(spark, rocks, tmp_path):
-    """Rows are out of order within each file; the query is restarted halfway."""
-    data = reports(5, 600)
-    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
-    for files in (range(3), range(3, 6)):
-        for i in files:
-            write_file(spark, source, i, data[i * 100 : (i + 1) * 100], SCHEMA)
-        latest = run(rocks, source, target, checkpoint)
-    found = {
+def as_dict(latest):
+    return {
         r.obj: [
             (c.type, c.status, c.reason, c.last_update, c.last_transition) for c in r.conditions
         ]
         for r in latest.collect()
     }
-    assert found == folded(data)
-    history = feeds.read_batches(rocks, target, "obj bigint")
-    assert history.select("batch").distinct().count() >= 6
+
+
+def test_batches_and_a_restart_give_the_fold(spark, rocks, tmp_path):
+    """Rows are out of order within each file; both hops are restarted halfway."""
+    data = reports(5, 600)
+    source, work = str(tmp_path / "in"), str(tmp_path / "work")
+    for files in (range(3), range(3, 6)):
+        for i in files:
+            write_file(spark, source, i, data[i * 100 : (i + 1) * 100], SCHEMA)
+        latest = run(rocks, source, work)
+    assert as_dict(latest) == folded(data)
+    summaries = feeds.read_batches(rocks, f"{work}/summaries", "obj bigint")
+    assert summaries.select("batch").distinct().count() == 6
+
+
+@pytest.mark.parametrize("size", [1, 7])
+def test_any_cut_into_batches_gives_the_fold(spark, rocks, tmp_path, size):
+    """Short batches: most logs continue the one before."""
+    data = [(o % 2, *rest) for o, *rest in reports(size, 12 * size)]
+    source = str(tmp_path / "in")
+    for i in range(12):
+        write_file(spark, source, i, data[i * size : (i + 1) * size], SCHEMA)
+    assert as_dict(run(rocks, source, str(tmp_path / "work"))) == folded(data)
+
+
+def test_a_summary_written_twice_counts_once(spark, rocks, tmp_path):
+    """A repeated batch replaces its files under new names, which the next hop sees again."""
+    data = reports(9, 200)
+    source, work = str(tmp_path / "in"), str(tmp_path / "work")
+    for i in range(2):
+        write_file(spark, source, i, data[i * 100 : (i + 1) * 100], SCHEMA)
+    run(rocks, source, work)
+    again = spark.read.parquet(f"{work}/summaries/batch=0").collect()
+    schema = spark.read.parquet(f"{work}/summaries/batch=0").schema
+    spark.createDataFrame(again, schema).write.mode("append").parquet(f"{work}/summaries/batch=0")
+    assert as_dict(run(rocks, source, work)) == folded(data)
 
 
 def test_unknown_type_stops_the_stream(spark, rocks, tmp_path):
     source = str(tmp_path / "in")
     write_file(spark, source, 0, [(1, START, 0, "Sleeping", "a", "")], SCHEMA)
     with pytest.raises(Exception, match="unknown condition type"):
-        run(rocks, source, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        run(rocks, source, str(tmp_path / "work"))
 
 
 FEED = (
