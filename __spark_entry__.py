@@ -23,7 +23,7 @@ from muster.operators.settings import layered_settings, spec_settings  # noqa: E
 from muster.operators.timeline import condition_lists, condition_rows  # noqa: E402
 from muster.plans.slices import with_previous  # noqa: E402
 from muster.session import shared_folder  # noqa: E402
-from muster.sources.objects import list_objects  # noqa: E402
+from muster.sources.objects import get_object, list_objects  # noqa: E402
 from muster.sources.sinks import write_lines, write_lines_if_absent  # noqa: E402
 from muster.sources.text import read_lines  # noqa: E402
 from muster.streaming import feed as feeds  # noqa: E402
@@ -93,8 +93,8 @@ def merged_counts(spark, sf_dir):
 
 @query(f"select word, count(*) as n from ({WORDS}) where word <> '' group by word")
 def sorted_word_count(spark, sf_dir):
-    """Seven partitions, each in key order."""
-    return words.sorted_by_key(word_count(spark, sf_dir), partitions=7)
+    """Each partition in key order, on the partitioning the count already has."""
+    return words.sorted_by_key(word_count(spark, sf_dir))
 
 
 def _read_counts(spark, path):
@@ -161,6 +161,18 @@ def label_selector_scan(spark, sf_dir):
     return found.select("doc_id", "lang", "source")
 
 
+@query("""
+    select c_mktsegment, c_name, c_custkey from customer
+    where c_mktsegment = 'MACHINERY' and c_name = 'Customer#000000001'""")
+def object_lookup(spark, sf_dir):
+    """One object by namespace (the segment) and name."""
+    objects = table(spark, sf_dir, "customer").select(
+        F.col("c_mktsegment").alias("namespace"), F.col("c_name").alias("name"), "c_custkey"
+    )
+    found = get_object(objects, "MACHINERY", "Customer#000000001")
+    return found.withColumnsRenamed({"namespace": "c_mktsegment", "name": "c_name"})
+
+
 @query("""
     select o_orderkey, c_custkey, c_custkey * 10 as uid
     from orders join customer on o_custkey = c_custkey

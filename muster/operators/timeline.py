@@ -19,14 +19,15 @@ def report_summaries(
     type_: str = "type",
     reason: str = "reason",
     message: str | None = None,
+    continued: bool = False,
     min_rows: int = MIN_ROWS,
 ) -> DataFrame:
     """``(*keys, entries)``: what matters of each object's log, one row per object.
 
     Per type, in the order of their last valid report: ``type, reason, message`` and
-    ``updated`` (time) of that report, and ``since``, when the type last became True.
-    ``only_first`` and ``from_first`` say that the report, or that moment, is the first of
-    the log: these depend on what came before, if the log continues another one.
+    ``updated`` (time) of that report, and ``since``, when the type last became True. For
+    logs that may be ``continued`` from others, ``only_first`` and ``from_first`` say that
+    the report, or that moment, is the first of the log: these depend on what came before.
 
     Exactly one type is True at any time, that of the preceding report, so comparing each
     report with its predecessor is enough, and the rest are maxima per type: one shuffle of
@@ -38,26 +39,28 @@ def report_summaries(
     log = with_previous(reports, keys, order, [type_, reason], min_rows=min_rows)
     was_type = F.col(f"prev.{type_}").eqNullSafe(F.col(type_))
     was_same = was_type & F.col(f"prev.{reason}").eqNullSafe(F.col(reason))
+    # Void reports add nothing to the maxima. A start is compared with the first report
+    # only in continued logs; otherwise its time alone is cheaper to aggregate.
+    start = F.struct(*order) if continued else F.col(time)
     log = log.withColumns(
         {
             "_type": F.when(F.col(type_).isin(*types), F.col(type_)).otherwise(
                 F.raise_error(F.concat(F.lit("unknown condition type "), F.col(type_)))
             ),
             "_at": F.struct(*order),
-            "_report": F.when(
-                ~was_same, F.struct(*order, F.col(reason).alias("_reason"), text.alias("_text"))
-            ),
-            "_start": F.when(~was_type, F.struct(*order)),
+            "_report": F.struct(*order, F.col(reason).alias("_reason"), text.alias("_text")),
+            "_start": F.when(~was_type, start),
         }
-    )
+    ).where(~was_same)
 
     def of(kind: str, column: str) -> Column:
         return F.max(F.when(F.col("_type") == kind, F.col(column)))
 
     latest = {k: f"_latest_{i}" for i, k in enumerate(types)}
     starts = {k: f"_start_{i}" for i, k in enumerate(types)}
+    first = [F.min("_at").alias("_first")] if continued else []
     state = log.groupBy(*keys).agg(
-        F.min("_at").alias("_first"),
+        *first,
         *[of(k, "_report").alias(c) for k, c in latest.items()],
         *[of(k, "_start").alias(c) for k, c in starts.items()],
     )
@@ -65,6 +68,10 @@ def report_summaries(
     def entry(kind: str) -> Column:
         report, start = F.col(latest[kind]), F.col(starts[kind])
         at = F.struct(*[report[c].alias(c) for c in order])
+        flags = [
+            (at == F.col("_first")).alias("only_first"),
+            (start == F.col("_first")).alias("from_first"),
+        ]
         return F.when(
             report.isNotNull(),
             F.struct(
@@ -74,9 +81,8 @@ def report_summaries(
                     report["_reason"].alias("reason"),
                     report["_text"].alias("message"),
                     report[time].alias("updated"),
-                    start[time].alias("since"),
-                    (at == F.col("_first")).alias("only_first"),
-                    (start == F.col("_first")).alias("from_first"),
+                    (start[time] if continued else start).alias("since"),
+                    *(flags if continued else []),
                 ).alias("entry"),
             ),
         )
@@ -104,7 +110,9 @@ def condition_lists(
     stays if it was True already (only the reason changed). A ``reconfiguring`` report
     removes ``running`` (None: nothing is removed, as for applications).
     """
-    found = report_summaries(reports, keys, order, types, type_, reason, message, min_rows)
+    found = report_summaries(
+        reports, keys, order, types, type_, reason, message, min_rows=min_rows
+    )
     kinds = F.transform("entries", lambda e: e["type"])
     removed = F.lit(False)
     if reconfiguring is not None:

@@ -52,7 +52,9 @@ def write_report_summaries(
     """
 
     def summarize(batch: DataFrame) -> DataFrame:
-        found = report_summaries(batch, keys, order, types, type_, reason, message, min_rows)
+        found = report_summaries(
+            batch, keys, order, types, type_, reason, message, continued=True, min_rows=min_rows
+        )
         rows = found.select(*keys, F.posexplode("entries").alias("rank", "_entry"))
         micros = {c: F.unix_micros(f"_entry.{c}").alias(c) for c in ("updated", "since")}
         plain = ("type", "reason", "message")
