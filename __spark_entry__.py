@@ -488,7 +488,7 @@ def condition_stream(spark, sf_dir):
     arriving = streams.read_report_summaries(reports.sparkSession, summaries, "user_id BIGINT")
     lists = streams.stream_condition_lists(arriving, ["user_id"])
     feeds.write_batches(lists, target, checkpoints[1]).awaitTermination()
-    history = feeds.read_batches(spark, target, lists.schema)
+    history = feeds.read_batches(reports.sparkSession, target, lists.schema)
     rows = condition_rows(streams.latest_lists(history, ["user_id"]), ["user_id"])
     plain = {c: F.col(c).cast("timestamp_ntz") for c in ("last_update", "last_transition")}
     return rows.drop("message").withColumns(plain)
