@@ -139,3 +139,24 @@ def test_reclaim(spark):
     )
     found = ownership.reclaimable_clusters(clusters, apps)
     assert rows(found) == [("ns", "a"), ("ns", "b")]
+
+
+def test_a_hot_owner_is_split_over_tasks(spark):
+    """Half of the dependents belong to one owner; no side is small enough to broadcast."""
+    session = spark.newSession()
+    for key, value in {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.shuffle.partitions": "16",
+    }.items():
+        session.conf.set(key, value)
+    name = F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 1000)
+    dependents = session.range(0, 200_000, 1, 8).select(
+        "id", name.alias("name"), name.alias("ref_uid"), F.repeat(F.lit("x"), 20).alias("pad")
+    )
+    owners = session.range(1000).select(F.col("id").alias("name"), F.col("id").alias("uid"))
+    found = ownership.resolve_owners(dependents, owners, {"name": "name"}).select("dep.id")
+    assert len(found.collect()) == 200_000
+    assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()

@@ -88,12 +88,12 @@ def test_batches_and_a_restart_give_the_fold(spark, rocks, tmp_path):
     assert summaries.select("batch").distinct().count() == 6
 
 
-@pytest.mark.parametrize("size", [1, 7])
+@pytest.mark.parametrize("size", [2, 15])
 def test_any_cut_into_batches_gives_the_fold(spark, rocks, tmp_path, size):
     """Short batches: most logs continue the one before."""
-    data = [(o % 2, *rest) for o, *rest in reports(size, 12 * size)]
+    data = [(o % 2, *rest) for o, *rest in reports(size, 6 * size)]
     source = str(tmp_path / "in")
-    for i in range(12):
+    for i in range(6):
         write_file(spark, source, i, data[i * size : (i + 1) * size], SCHEMA)
     assert as_dict(run(rocks, source, str(tmp_path / "work"))) == folded(data)
 
