@@ -56,38 +56,32 @@ def report_summaries(
     def of(kind: str, column: str) -> Column:
         return F.max(F.when(F.col("_type") == kind, F.col(column)))
 
-    latest = {k: f"_latest_{i}" for i, k in enumerate(types)}
-    starts = {k: f"_start_{i}" for i, k in enumerate(types)}
     first = [F.min("_at").alias("_first")] if continued else []
     state = log.groupBy(*keys).agg(
         *first,
-        *[of(k, "_report").alias(c) for k, c in latest.items()],
-        *[of(k, "_start").alias(c) for k, c in starts.items()],
+        *[of(k, "_report").alias(f"_report_{i}") for i, k in enumerate(types)],
+        *[of(k, "_start").alias(f"_start_{i}") for i, k in enumerate(types)],
     )
 
-    def entry(kind: str) -> Column:
-        report, start = F.col(latest[kind]), F.col(starts[kind])
-        at = F.struct(*[report[c].alias(c) for c in order])
-        flags = [
-            (at == F.col("_first")).alias("only_first"),
-            (start == F.col("_first")).alias("from_first"),
-        ]
-        return F.when(
-            report.isNotNull(),
-            F.struct(
-                at.alias("at"),
-                F.struct(
-                    F.lit(kind).alias("type"),
-                    report["_reason"].alias("reason"),
-                    report["_text"].alias("message"),
-                    report[time].alias("updated"),
-                    (start[time] if continued else start).alias("since"),
-                    *(flags if continued else []),
-                ).alias("entry"),
-            ),
+    def entry(i: int, kind: str) -> Column:
+        report, start = f"_report_{i}", f"_start_{i}"
+        at = f"struct({', '.join(f'{report}.`{c}`' for c in order)})"
+        fields = {
+            "type": f"'{kind}'",
+            "reason": f"{report}._reason",
+            "message": f"{report}._text",
+            "updated": f"{report}.`{time}`",
+            "since": f"{start}.`{time}`" if continued else start,
+        }
+        if continued:
+            fields |= {"only_first": f"{at} = _first", "from_first": f"{start} = _first"}
+        pairs = ", ".join(f"'{name}', {value}" for name, value in fields.items())
+        return F.expr(
+            f"CASE WHEN {report} IS NOT NULL "
+            f"THEN struct({at} AS at, named_struct({pairs}) AS entry) END"
         )
 
-    present = F.array_sort(F.array_compact(F.array(*[entry(k) for k in types])))
+    present = F.array_sort(F.array_compact(F.array(*[entry(i, k) for i, k in enumerate(types)])))
     return state.select(*keys, F.transform(present, lambda e: e["entry"]).alias("entries"))
 
 

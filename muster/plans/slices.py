@@ -2,59 +2,102 @@
 
 ``lag`` over ``partitionBy(key)`` sorts all rows of a key in one task. When one key may
 hold a third of the table that task never ends, and adaptive execution does not split
-window partitions. Here the log of a *hot* key is first cut into contiguous time slices,
-each an own window partition; the last row of a slice is copied in front of the next
-slice, so the result is the same as with the plain window.
+window partitions. Here the log of a *hot* key is first cut into contiguous slices, each
+an own window partition; the last row of a slice is copied in front of the next slice, so
+the result is the same as with the plain window.
 
 Hot are the ``MAX_HOT`` keys with the most rows, as far as they hold more than
 ``min_rows``. So the broadcast table of hot keys has at most ``MAX_HOT`` rows whatever the
 data, and every other key holds less than ``1 / MAX_HOT`` of the table (or fewer than
 ``min_rows`` rows) and takes the plain window: one shuffle of the rows.
+
+Slices have equal width along the first order column, or along the second where all rows
+share the first. A log with bursts fills them unevenly, so slices that are still hot are
+cut once more, by the same rule.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_HOT = 4096
 MIN_ROWS = 1_000_000
-# A hot key's log is cut into at most MAX_HOT * OVERSAMPLE slices of equal time; the
-# surplus leaves room for bursts in an uneven log.
+# A hot log is cut into at most MAX_HOT * OVERSAMPLE slices, more than its size asks for,
+# as some will hold more than others.
 OVERSAMPLE = 16
 
 
-def _number_line(rows: DataFrame, axis: str) -> Column:
-    """``axis`` as a number that grows with it, independent of the session time zone."""
-    col, dtype = F.col(axis), rows.schema[axis].dataType
+def _number(name: str, dtype: T.DataType) -> str | None:
+    """SQL for column ``name`` as a number that grows with it, whatever the session time
+    zone; None for types without one."""
     if isinstance(dtype, T.TimestampNTZType):
-        days = F.unix_date(col.cast("date")).cast("bigint")
-        return ((days * 24 + F.hour(col)) * 60 + F.minute(col)) * 60 + F.second(col)
+        minutes = f"(unix_date(date({name})) * 24L + hour({name})) * 60 + minute({name})"
+        micros = f"bigint(extract(SECOND FROM {name}) * 1000000)"
+        return f"(({minutes}) * 60000000 + {micros})"
     if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(col)
-    return col
+        return f"unix_micros({name})"
+    return name if isinstance(dtype, T.NumericType) else None
 
 
-def hot_spans(rows: DataFrame, keys: Sequence[str], axis: str, min_rows: int) -> DataFrame:
-    """``(_hot_<key>, _t0, _step)`` of the hot keys; at most ``MAX_HOT`` rows."""
-    at = _number_line(rows, axis)
-    cells = F.least(F.ceil(F.col("_n") / min_rows), F.lit(MAX_HOT)) * OVERSAMPLE
-    return (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_t0"), F.max(at).alias("_t1"))
+def hot_spans(
+    rows: DataFrame, by: Sequence[str], order: Sequence[str], min_rows: int
+) -> DataFrame:
+    """The groups to be cut, at most ``MAX_HOT``: ``(_hot_<by>, _axis, _from, _step)``.
+    ``_axis`` is the position in ``order`` of the column to cut along."""
+    schema = rows.schema
+    types = [schema[c].dataType for c in order[:2]]
+    stats = (
+        rows.groupBy(*by)
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            *[F.min(c).alias(f"_lo{i}") for i, c in enumerate(order[:2])],
+            *[F.max(c).alias(f"_hi{i}") for i, c in enumerate(order[:2])],
+        )
         .where(F.col("_n") > min_rows)
-        # The keys break ties: both uses of this table must agree on the choice.
-        .orderBy(F.col("_n").desc(), *keys)
+        # The group itself breaks ties: all uses of this table must agree on the choice.
+        .orderBy(F.col("_n").desc(), *by)
         .limit(MAX_HOT)
-        .select(
-            *[F.col(k).alias(f"_hot_{k}") for k in keys],
-            "_t0",
-            (F.floor((F.col("_t1") - F.col("_t0")) / cells) + 1).alias("_step"),
-        )
     )
+    cells = f"least(ceil(_n / {min_rows}), {MAX_HOT}) * {OVERSAMPLE}"
+
+    def span(i: int) -> str:
+        low, high = (_number(f"_{end}{i}", types[i]) for end in ("lo", "hi"))
+        step = f"floor(({high} - {low}) / ({cells})) + 1"
+        return f"named_struct('axis', {i}, 'from', double({low}), 'step', double({step}))"
+
+    choice = span(0)
+    if len(types) > 1 and isinstance(types[1], T.NumericType):
+        choice = f"CASE WHEN _lo0 = _hi0 THEN {span(1)} ELSE {choice} END"
+    return stats.select("*", F.expr(choice).alias("_span")).select(
+        *[F.col(c).alias(f"_hot_{c}") for c in by],
+        *[F.col(f"_span.{field}").alias(f"_{field}") for field in ("axis", "from", "step")],
+    )
+
+
+def _cut(
+    rows: DataFrame,
+    spans: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    name: str,
+    how: str = "left",
+) -> DataFrame:
+    """Adds the slice number ``name``, null for rows of groups that stay whole."""
+    schema = rows.schema
+    numbers = [_number(f"`{c}`", schema[c].dataType) for c in order[:2]]
+    slices = " ".join(
+        f"WHEN _axis = {i} THEN floor(({number} - _from) / _step)"
+        for i, number in enumerate(numbers)
+        if number is not None
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in by]
+    joined = rows.join(F.broadcast(spans), reduce(lambda a, b: a & b, same), how)
+    return joined.withColumn(name, F.expr(f"CASE {slices} END")).drop(*spans.columns)
 
 
 def with_previous(
@@ -68,34 +111,35 @@ def with_previous(
     """Adds ``prev``: a struct of ``columns`` as they were in the key's preceding row,
     null for the first row of a key.
 
-    ``order`` must be unique within a key; its first column (timestamp or number) is the
-    axis along which hot keys are sliced.
+    ``order`` must be unique within a key and start with a timestamp or number. ``rows`` is
+    read up to four times (sizes, rows, and twice the hot rows), so it should be a table.
     """
-    hot = F.broadcast(hot_spans(rows, keys, order[0], min_rows))
-    same_key = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
-    cell = F.floor((_number_line(rows, order[0]) - F.col("_t0")) / F.col("_step"))
-
-    sliced = (
-        rows.join(hot, same_key, "left")
-        .withColumns({"_slice": F.coalesce(cell, F.lit(-1)), "_copy": F.lit(False)})
-        .drop(*hot.columns)
-    )
+    keys, order = list(keys), list(order)
+    spans = hot_spans(rows, keys, order, min_rows)
+    hot = _cut(rows, spans, keys, order, "_slice", how="inner")
+    by_slice = [*keys, "_slice"]
+    sub_spans = hot_spans(hot, by_slice, order, min_rows)
+
+    sliced = _cut(rows, spans, keys, order, "_slice")
+    sliced = _cut(sliced, sub_spans, by_slice, order, "_part").withColumn("_copy", F.lit(False))
+
     carried = list(dict.fromkeys([*order, *columns]))
+    place = F.struct("_slice", "_part")
     last_rows = (
-        rows.join(hot, same_key, "inner")
-        .groupBy(*keys, cell.alias("_slice"))
+        _cut(hot, sub_spans, by_slice, order, "_part")
+        .groupBy(*keys, place.alias("_place"))
         .agg(F.max_by(F.struct(*carried), F.struct(*order)).alias("_last"))
     )
-    next_slice = F.lead("_slice").over(Window.partitionBy(*keys).orderBy("_slice"))
+    next_place = F.lead("_place").over(Window.partitionBy(*keys).orderBy("_place"))
     copies = (
-        last_rows.withColumn("_slice", next_slice)
-        .where(F.col("_slice").isNotNull())
-        .select(*keys, "_slice", F.lit(True).alias("_copy"), "_last.*")
+        last_rows.withColumn("_place", next_place)
+        .where(F.col("_place").isNotNull())
+        .select(*keys, "_place.*", F.lit(True).alias("_copy"), "_last.*")
     )
-    within = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    within = Window.partitionBy(*keys, "_slice", "_part").orderBy(*order)
     return (
         sliced.unionByName(copies, allowMissingColumns=True)
         .withColumn(prev, F.lag(F.struct(*columns)).over(within))
         .where(~F.col("_copy"))
-        .drop("_slice", "_copy")
+        .drop("_slice", "_part", "_copy")
     )
