@@ -472,7 +472,8 @@ def _event_stream(spark, sf_dir):
     session.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
     session.conf.set("spark.sql.session.timeZone", "UTC")
     schema = table(spark, sf_dir, "events").schema
-    events = feeds.read_feed(session, sf_dir, schema, pattern="events.parquet")
+    # A pattern, as a stream reads folders: the table may be one file or a folder of files.
+    events = feeds.read_feed(session, f"{sf_dir}/events.parquet*", schema)
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
