@@ -30,6 +30,9 @@ MIN_ROWS = 1_000_000
 # A hot log is cut into at most MAX_HOT * OVERSAMPLE slices, more than its size asks for,
 # as some will hold more than others.
 OVERSAMPLE = 16
+# No row is stored in fewer bytes, roughly; a smaller table than min_rows of them has no
+# hot key and gets the plain window without a look at its keys.
+ROW_BYTES = 8
 
 
 def _number(name: str, dtype: T.DataType) -> str | None:
@@ -87,11 +90,12 @@ def _cut(
     name: str,
     how: str = "left",
 ) -> DataFrame:
-    """Adds the slice number ``name``, null for rows of groups that stay whole."""
+    """Adds the slice number ``name``, null for rows of groups that stay whole. Rows
+    without a place on the axis come first, as in the window's order."""
     schema = rows.schema
     numbers = [_number(f"`{c}`", schema[c].dataType) for c in order[:2]]
     slices = " ".join(
-        f"WHEN _axis = {i} THEN floor(({number} - _from) / _step)"
+        f"WHEN _axis = {i} THEN coalesce(floor(({number} - _from) / _step), -1)"
         for i, number in enumerate(numbers)
         if number is not None
     )
@@ -100,6 +104,12 @@ def _cut(
     return joined.withColumn(name, F.expr(f"CASE {slices} END")).drop(*spans.columns)
 
 
+def _may_be_hot(rows: DataFrame, min_rows: int) -> bool:
+    """By the optimizer's size estimate, which is very large where it knows nothing."""
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) >= min_rows * ROW_BYTES
+
+
 def with_previous(
     rows: DataFrame,
     keys: Sequence[str],
@@ -115,6 +125,9 @@ def with_previous(
     read up to four times (sizes, rows, and twice the hot rows), so it should be a table.
     """
     keys, order = list(keys), list(order)
+    if not _may_be_hot(rows, min_rows):
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        return rows.withColumn(prev, F.lag(F.struct(*columns)).over(whole))
     spans = hot_spans(rows, keys, order, min_rows)
     hot = _cut(rows, spans, keys, order, "_slice", how="inner")
     by_slice = [*keys, "_slice"]

@@ -54,6 +54,13 @@ def test_no_time_zone_moves_a_row(spark):
     assert rows(sliced) == rows(plain(frame, ["key"], ["ts", "id"]))
 
 
+def test_rows_without_a_time_come_first(spark):
+    data = [(1, None if i % 7 == 0 else START + timedelta(seconds=i), i, str(i % 5)) for i in range(90)]
+    frame = spark.createDataFrame(data, "key int, ts timestamp, id int, v string")
+    sliced = slices.with_previous(frame, ["key"], ["ts", "id"], ["v"], min_rows=5)
+    assert rows(sliced) == rows(plain(frame, ["key"], ["ts", "id"]))
+
+
 def test_numeric_axis_and_two_keys(spark):
     data = [(k, k % 2, i, str(i % 5)) for i in range(200) for k in (1, 2)]
     frame = spark.createDataFrame(data, "a int, b int, pos bigint, v string")
@@ -97,3 +104,15 @@ def test_without_hot_keys_one_shuffle_of_the_rows_remains(spark):
     final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert final.count("Exchange") == 1
     assert "Join" not in final and "Union" not in final
+
+
+def test_small_table_is_not_examined(spark, tmp_path):
+    path = str(tmp_path / "log")
+    spark.createDataFrame(log("even"), "key int, ts timestamp, id int, v string").write.parquet(
+        path
+    )
+    frame = spark.read.parquet(path)
+    for min_rows, examined in ((1_000_000, False), (20, True)):
+        found = slices.with_previous(frame, ["key"], ["ts", "id"], ["v"], min_rows=min_rows)
+        assert ("_slice" in found._jdf.queryExecution().analyzed().toString()) is examined
+        assert rows(found) == rows(plain(frame, ["key"], ["ts", "id"]))
