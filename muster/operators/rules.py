@@ -46,7 +46,10 @@ def apply_defaults(
         {
             **{c: default_replicas(F.col(c)) for c in replicas},
             **{c: default_image(F.col(c), d) for c, d in (images or {}).items()},
-            **{c: default_retention(F.col(flag), F.col(c)) for c, flag in (retention or {}).items()},
+            **{
+                c: default_retention(F.col(flag), F.col(c))
+                for c, flag in (retention or {}).items()
+            },
         }
     )
 

@@ -21,7 +21,8 @@ def read_feed(
 ) -> DataFrame:
     """A folder of feed files as a stream, oldest file first, at most about ``max_bytes``
     (one file at least) per micro-batch."""
-    reader = spark.readStream.schema(schema).format(fmt).option("maxBytesPerTrigger", str(max_bytes))
+    reader = spark.readStream.schema(schema).format(fmt)
+    reader = reader.option("maxBytesPerTrigger", str(max_bytes))
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(path)

@@ -15,7 +15,9 @@ def test_default_digits_give_the_same_points(spark):
     assert estimate_pi(halton_points(indexes, "point")).first().inside == 6282
 
 
-@pytest.mark.parametrize(("largest", "base", "digits"), [(1, 2, 1), (2, 2, 2), (8, 3, 2), (9, 3, 3)])
+@pytest.mark.parametrize(
+    ("largest", "base", "digits"), [(1, 2, 1), (2, 2, 2), (8, 3, 2), (9, 3, 3)]
+)
 def test_digits(largest, base, digits):
     assert digits_for(largest, base) == digits
 

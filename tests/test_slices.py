@@ -55,7 +55,8 @@ def test_no_time_zone_moves_a_row(spark):
 
 
 def test_rows_without_a_time_come_first(spark):
-    data = [(1, None if i % 7 == 0 else START + timedelta(seconds=i), i, str(i % 5)) for i in range(90)]
+    times = [None if i % 7 == 0 else START + timedelta(seconds=i) for i in range(90)]
+    data = [(1, at, i, str(i % 5)) for i, at in enumerate(times)]
     frame = spark.createDataFrame(data, "key int, ts timestamp, id int, v string")
     sliced = slices.with_previous(frame, ["key"], ["ts", "id"], ["v"], min_rows=5)
     assert rows(sliced) == rows(plain(frame, ["key"], ["ts", "id"]))

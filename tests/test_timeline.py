@@ -157,5 +157,6 @@ def test_predicates(spark, predicate, held, expected):
 
 
 def test_age(spark):
-    frame = spark.createDataFrame([(START, START + timedelta(seconds=90.5))], "a timestamp, b timestamp")
+    times = [(START, START + timedelta(seconds=90.5))]
+    frame = spark.createDataFrame(times, "a timestamp, b timestamp")
     assert frame.select(conds.age_seconds(F.col("a"), F.col("b"))).first()[0] == 90
