@@ -471,6 +471,9 @@ def _event_stream(spark, sf_dir):
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
     session.conf.set("spark.sql.session.timeZone", "UTC")
+    # State partitions are fixed at the first start: one per core of the cluster.
+    cores = spark.sparkContext.defaultParallelism
+    session.conf.set("spark.sql.shuffle.partitions", str(cores))
     schema = table(spark, sf_dir, "events").schema
     # A pattern, as a stream reads folders: the table may be one file or a folder of files.
     events = feeds.read_feed(session, f"{sf_dir}/events.parquet*", schema)
