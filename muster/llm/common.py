@@ -68,3 +68,17 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         before, after = after, _state(now)
     roots = now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(roots)
+
+
+#: Stands for a null doc_id where rows pass through pandas, which has no null integers.
+NO_ID = -(1 << 63)
+
+
+def whole_id(doc_id: Column) -> Column:
+    """A doc_id that pandas keeps exact: NO_ID for null."""
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))
+
+
+def null_id(doc_id: Column) -> Column:
+    """Back again: null for NO_ID."""
+    return F.nullif(doc_id, F.lit(NO_ID))

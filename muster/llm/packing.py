@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from muster.llm.common import null_id, whole_id
 from muster.llm.words import ragged, split_words
 
 #: Tokens of a sequence, tails of a shard, best terms of a seed that are looked up.
@@ -230,8 +231,8 @@ def pack(
 
     def fill(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         # Order within a shard is fixed by content, so that a task run again agrees.
-        f = f.sort_values(["doc_id", "doc_tokens", "tail"], na_position="first", ignore_index=True)
-        ids, total = f["doc_id"].to_numpy(object), f["doc_tokens"].to_numpy()
+        f = f.sort_values(["doc_id", "doc_tokens", "tail"], ignore_index=True)
+        ids, total = f["doc_id"].to_numpy(), f["doc_tokens"].to_numpy()
         tails = [np.frombuffer(t, "<u2") for t in f["tail"]]
         out, sequence = [], int(key[0]) << 32
         for i, crcs in enumerate(f["crcs"]):
@@ -245,9 +246,9 @@ def pack(
                 out.append((ids[i], at, n, crc(tails[i][start : start + n]), total[i], sequence, offset))
                 offset += n
             sequence += 1
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
-        return frame.astype({"doc_id": "Int64"})
+        return pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
 
     deal = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))
-    rows = docs.select("doc_id", "text", deal.alias("shard")).mapInPandas(cut, _CUT)
-    return rows.groupBy("shard").applyInPandas(fill, PIECES)
+    rows = docs.select(whole_id(F.col("doc_id")).alias("doc_id"), "text", deal.alias("shard")).mapInPandas(cut, _CUT)
+    pieces = rows.groupBy("shard").applyInPandas(fill, PIECES)
+    return pieces.withColumn("doc_id", null_id(F.col("doc_id")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import mixing, packing, simhash, surrogates, toxicity
+from muster.llm import chunks, licenses, mixing, neighbours, packing, simhash, suffixes, surrogates, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,6 +40,11 @@ def op2_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query()
+def op3_cross_polytope(spark, sf_dir):
+    return neighbours.search(spark, table(spark, sf_dir, "embeddings"))
+
+
 MIX_SQL = rf"""
     with sized as (
         select doc_id, source,
@@ -90,6 +95,74 @@ def op5_toxicity(spark, sf_dir):
     )
 
 
+SUFFIX_SQL = """
+    with texts as (
+        select doc_id, coalesce(hex(encode(text)), '') as h, len(h) // 2 as n_bytes from documents),
+    strings as (
+        select doc_id, i, md5(substr(h, 2 * i + 1, 400)) as digest
+        from (select doc_id, h, unnest(range(n_bytes - 199)) as i from texts where n_bytes >= 200)),
+    repeated as (select doc_id, i from strings qualify count(*) over (partition by digest) > 1),
+    marked as (
+        select *, coalesce(i - lag(i) over (partition by doc_id order by i) > 200, true) as new from repeated),
+    numbered as (
+        select *, sum(new::INTEGER) over (partition by doc_id order by i rows unbounded preceding) as span from marked),
+    spans as (
+        select doc_id, min(i) as a, max(i) + 200 as b from numbered group by doc_id, span),
+    gaps as (
+        select *, coalesce(lag(b) over (partition by doc_id order by a), 0) as last_b from spans),
+    cut as (
+        select doc_id, sum(b - a)::BIGINT as n_removed, count(*) as n_spans,
+            string_agg(substr(h, 2 * last_b + 1, 2 * (a - last_b)), '' order by a)
+                || substr(any_value(h), 2 * max(b) + 1) as kept
+        from gaps join texts using (doc_id) group by doc_id)
+    select doc_id, n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+        sha256(unhex(coalesce(kept, h))) as kept_sha256
+    from texts left join cut using (doc_id)"""
+
+
+@query(SUFFIX_SQL)
+def op6_suffix_array(spark, sf_dir):
+    found = suffixes.remove_repeats(spark, table(spark, sf_dir, "documents"))
+    return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 @query()
 def op7_surrogates(spark, sf_dir):
     return surrogates.replace_entities(spark, table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+VECTOR_SQL = """
+    with recursive usable as (
+        select vec_id, label, embedding::DOUBLE[] as v from embeddings
+        where label is not null and embedding is not null
+            and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+            and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links as (
+        select a.vec_id as a, b.vec_id as b
+        from usable a join usable b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+        where list_cosine_similarity(a.v, b.v) >= 0.98),
+    reached as (
+        select a, b from links
+        union
+        select r.a, l.b from reached r join links l on r.b = l.a),
+    least as (select a, min(b) as b from reached group by a),
+    counted as (select a, count(*) as n from links group by a)
+    select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(b, vec_id)) as component_id,
+        vec_id = least(vec_id, coalesce(b, vec_id)) as kept
+    from embeddings left join least on least.a = vec_id left join counted on counted.a = vec_id"""
+
+
+@query(VECTOR_SQL)
+def op9_multi_index(spark, sf_dir):
+    return vectors.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op10_chunks(spark, sf_dir):
+    found = chunks.deduplicate(spark, table(spark, sf_dir, "documents"))
+    return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm.common import components, written
+from muster.llm.common import components, null_id, whole_id, written
 
 # Fixed value: generator polynomial of the (23, 12) code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GENERATOR = 0b110001110101
@@ -57,7 +57,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for f in frames:
             yield pd.DataFrame({"doc_id": f["doc_id"], "fp": [fingerprint(t, shingle) for t in f["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(each, "doc_id long, fp long")
+    rows = docs.select(whole_id(F.col("doc_id")).alias("doc_id"), "text").mapInPandas(each, "doc_id long, fp long")
+    return rows.withColumn("doc_id", null_id(F.col("doc_id")))
 
 
 class Golay:
