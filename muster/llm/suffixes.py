@@ -35,7 +35,7 @@ from muster.llm.common import null_id, whole_id, written
 LENGTH, GRAM = 200, 32
 #: Segments of a shard; an anchor with more different ones is dealt over several shards.
 SHARD = 4096
-_BATCH = 1 << 23
+_BATCH = 1 << 21
 
 
 def _windows(x: np.ndarray, n: int, merge) -> np.ndarray:

@@ -26,8 +26,9 @@ from muster.llm.words import ragged, split_words
 SAMPLE = 12_000
 #: Words that enter the fit at most: those whose labels differ most from the average.
 VOCABULARY = 5_000
-#: Documents that a word must occur in, L1 penalty, weight of the counterfactual loss, steps.
-LEAST_DOCS, L1, COUNTERFACTUAL, STEPS = 3, 1e-4, 5.0, 300
+#: Documents that a word must occur in; toxic documents beyond the expected ones that it must
+#: have for a weight (the L1 penalty); weight of the counterfactual loss; steps of the fit.
+LEAST_DOCS, EVIDENCE, COUNTERFACTUAL, STEPS = 3, 2.5, 5.0, 300
 #: Terms that are swapped within their group.
 IDENTITY = (
     ("women", "men"),
@@ -122,7 +123,7 @@ def fit(
     texts: list[np.ndarray],
     swapped: list[np.ndarray | None],
     toxic: np.ndarray,
-    l1: float = L1,
+    evidence: float = EVIDENCE,
     counterfactual: float = COUNTERFACTUAL,
     vocabulary: int = VOCABULARY,
     steps: int = STEPS,
@@ -159,6 +160,7 @@ def fit(
     # The rarer label counts for more, by the root of how much rarer it is.
     weigh = np.where(y > 0, np.sqrt((1 - y.mean()) / y.mean()), 1.0)
     n, m = weigh.sum(), max(len(pairs), 1)
+    l1 = evidence / n
 
     def gradient(w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
         r = weigh * (1 / (1 + np.exp(-np.clip(x.times(w) + bias, -30, 30))) - y)
@@ -207,15 +209,14 @@ def train(
         labels.where("doc_id is not null and toxic is not null")
         .where(fold(F.col("doc_id")) != 0)
         .groupBy("doc_id")
-        .agg(F.max("toxic").alias("label"))
+        .agg(F.max("toxic").cast("int").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            own = [text_features(t) for t in f["text"]]
-            other = [text_features(t, swap) for t in f["text"]]
+            named = [not swap.keys().isdisjoint(_WORD.findall(t.lower())) for t in f["text"]]
             yield pd.DataFrame(
                 {
                     "doc_id": f["doc_id"],
@@ -231,8 +232,8 @@ def train(
     # The chosen ids are at most `sample` rows: a proven bound for the broadcast.
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     texts = texts.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    rows = texts.mapInPandas(each, "doc_id long, label int, own array<long>, other array<long>").toPandas()
-    rows = rows.sort_values("doc_id")
+    rows = texts.mapInPandas(each, "doc_id long, label int, own array<long>, other array<long>")
+    rows = rows.toArrow().to_pandas().sort_values("doc_id")
     as_features = lambda x: None if x is None else np.asarray(x, np.uint32)
     return fit(
         [as_features(x) for x in rows["own"]],
