@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.llm.common import NO_ID, null_id, whole_id, written
+from muster.llm.words import slices
 
 #: Top bits that are zero at a cut (one cut in 32 places), least and most bytes of a chunk.
 BITS, LEAST, MOST = 5, 32, 512
 #: Bytes that a run of repeated chunks must have to count: shorter ones are stock phrases.
 RUN = 120
-_WINDOW, _BATCH = 32, 1 << 23
+_WINDOW = 32
 
 
 def gear() -> np.ndarray:
@@ -74,12 +75,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             raw = [t.encode("utf-8", "replace") for t in f["text"]]
-            at = 0
-            while at < len(raw):
-                end, size = at, 0
-                while end < len(raw) and (end == at or size + len(raw[end]) <= _BATCH):
-                    size += len(raw[end])
-                    end += 1
+            for at, end in slices(raw):
                 part = raw[at:end]
                 ends = cut_batch(part)
                 n = np.array([len(e) for e in ends])
@@ -96,7 +92,6 @@ def chunks(docs: DataFrame) -> DataFrame:
                         "other": halves[:, 1],
                     }
                 )
-                at = end
 
     return docs.where("text <> ''").mapInPandas(cut, "doc_id long, two int, place int, size int, one long, other long")
 

@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.llm.common import null_id, whole_id
-from muster.llm.words import ragged, split_words
+from muster.llm.words import ragged, slices, split_words
 
 #: Tokens of a sequence, tails of a shard, best terms of a seed that are looked up.
 WINDOW, SHARD_DOCS, QUERY_TERMS = 1024, 2048, 24
 K1, B = 1.2, 0.75
 END = 0
-_CACHE = 400_000
+_CACHE = 150_000
 # White space beyond ASCII, where cutting at ASCII white space could differ.
 _OTHER_SPACE = re.compile("[\x85\xa0  -     　]")
 
@@ -217,7 +217,8 @@ def pack(
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             texts = f["text"].fillna("").tolist()
-            ids = [np.append(x, np.uint16(END)) for x in encoder(ranks_path, pattern).encode(texts)]
+            code = encoder(ranks_path, pattern)
+            ids = [np.append(x, np.uint16(END)) for a, b in slices(texts) for x in code.encode(texts[a:b])]
             whole = [len(x) // window * window for x in ids]
             yield pd.DataFrame(
                 {

@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.llm.common import null_id, whole_id, written
+from muster.llm.words import slices
 
 #: Bytes of a string that may not repeat, and of an anchor.
 LENGTH, GRAM = 200, 32
 #: Segments of a shard; an anchor with more different ones is dealt over several shards.
 SHARD = 4096
-_BATCH = 1 << 21
 
 
 def _windows(x: np.ndarray, n: int, merge) -> np.ndarray:
@@ -83,15 +83,9 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: i
 
 def _batches(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Texts in groups of some bytes: number of the first, bytes, bounds."""
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= _BATCH):
-            size += len(texts[end])
-            end += 1
+    for at, end in slices(texts):
         part = texts[at:end]
         yield at, np.frombuffer(b"".join(part), np.uint8), np.append(0, np.cumsum([len(t) for t in part]))
-        at = end
 
 
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:

@@ -20,10 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm.words import ragged, split_words
+from muster.llm.words import ragged, slices, split_words
 
 #: Most labelled documents that the classifier is fitted on, drawn by a hash of their id.
-SAMPLE = 12_000
+SAMPLE = 6_000
 #: Words that enter the fit at most: those whose labels differ most from the average.
 VOCABULARY = 5_000
 #: Documents that a word must occur in; toxic documents beyond the expected ones that it must
@@ -47,7 +47,7 @@ IDENTITY = (
     ("juifs", "chrétiens", "musulmans"),
 )
 PREFIXES = (4, 5)
-_CACHE = 400_000
+_CACHE = 150_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -110,7 +110,7 @@ class Rows:
     """Sparse rows of 0, 1 (or +1, -1): products with a weight vector and back."""
 
     def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, shape: tuple[int, int]) -> None:
-        self.row, self.column, self.value, self.shape = row, column, value, shape
+        self.row, self.column, self.value, self.shape = row.astype(np.int32), column.astype(np.int32), value, shape
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.column], self.shape[0])
@@ -254,6 +254,8 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     @F.pandas_udf("double")
     def scored(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in frames:
-            yield pd.Series(sent.value.scores(texts.fillna("").tolist()), dtype="float64")
+            texts = texts.fillna("").tolist()
+            parts = [sent.value.scores(texts[a:b]) for a, b in slices(texts)]
+            yield pd.Series(np.concatenate([np.empty(0), *parts]))
 
     return docs.withColumn("toxicity", scored(F.col("text")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pyarrow as pa
 
@@ -9,6 +11,21 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def slices(texts: Sequence[str | bytes], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` bytes or characters: what a task works on at once.
+
+    A text is never cut; one longer than that is a range of its own.
+    """
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= most):
+            size += len(texts[end])
+            end += 1
+        yield at, end
+        at = end
+
+
 def split_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words, the word at each place, and where each text's places begin and end.
 
