@@ -131,7 +131,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, run: int = RUN) -> DataFra
     hits = hits.groupBy("doc_id", "two", "place", "one", "later").agg(F.lit(1).alias("x"))
     hits = hits.groupBy("doc_id", "two").agg(F.sort_array(F.collect_list(F.struct("place", "one", "later"))).alias("hits"))
     hits = written(spark, hits.withColumnsRenamed({"doc_id": "d", "two": "t"}), "hits")
-    found = rows.join(hits, (F.col("doc_id") == F.col("d")) & (F.col("two") == F.col("t")), "left")
+    found = rows.join(hits.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("two") == F.col("t")), "left")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -129,7 +129,7 @@ def read_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
         F.col("taken").alias("_taken"),
     )
     rows = docs.withColumn("_words", word_count(F.col("text"))).join(
-        takes,
+        takes.hint("merge"),  # one plan at every size
         F.col("doc_id").eqNullSafe(F.col("_doc"))
         & (_key(F.col("source")) == F.col("_source"))
         & (F.col("_words") == F.col("_size")),

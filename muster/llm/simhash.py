@@ -160,13 +160,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
 def first_of_each(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs, one for each group of near duplicates: that of its smallest doc_id.
 
-    Of rows with one doc_id in one group, one stays. Rows without a doc_id can't be named
+    Of rows with one doc_id, one stays. Rows without a doc_id can't be named
     as another's copy and stay. All columns are kept.
     """
     found = near_duplicates(spark, docs, shingle).where("doc_id is not null")
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("least"))
     ids = written(spark, ids.where("least = doc_id").select("doc_id", "n"), "kept")
-    once = docs.join(ids.where("n = 1").select("doc_id"), "doc_id", "left_semi")
+    # The hint: one plan at every size, in which a hot id is split like any skewed join key.
+    once = docs.join(ids.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
     kept = once.unionByName(docs.where("doc_id is null"))
     more = ids.where("n > 1").select("doc_id")
     if not more.isEmpty():

@@ -195,7 +195,7 @@ def replace_entities(spark: SparkSession, docs: DataFrame, key: str = KEY) -> Da
     changes = places.join(table.select("entity", "surrogate"), "entity").groupBy("_one", "_two")
     changes = written(spark, changes.agg(in_order.getField("surrogate").alias("_new")), "changes")
     rows = docs.drop("n_entities").withColumns({"_one": F.xxhash64("text"), "_two": F.hash("text")})
-    rows = rows.join(changes, ["_one", "_two"], "left")
+    rows = rows.join(changes.hint("merge"), ["_one", "_two"], "left")  # one plan at every size
     parts = F.split("text", _ANY, -1)
     joined = F.zip_with(parts, F.concat(F.col("_new"), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
     text = F.when(F.col("_new").isNull(), F.col("text")).otherwise(F.array_join(joined, ""))
