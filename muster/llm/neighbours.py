@@ -171,13 +171,13 @@ def search(
     )
 
     def meet(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        none = {"query_id": pd.Series([], dtype="int64"), "vec_id": [], "score": []}
-        if asked.empty or rows.empty:
-            return pd.DataFrame(none)
-        q, x = np.stack(asked["v"].tolist()), np.stack(rows["v"].tolist())
-        own = asked["vec_id"].to_numpy()
-        found = best(q, x, rows["vec_id"].to_numpy(), own, k)
-        return pd.DataFrame({"query_id": own, "vec_id": [i for i, _ in found], "score": [s for _, s in found]})
+        found, own = [], np.empty(0, np.int64)
+        if len(asked) and len(rows):
+            q, x = np.stack(asked["v"].tolist()), np.stack(rows["v"].tolist())
+            own = asked["vec_id"].to_numpy()
+            found = best(q, x, rows["vec_id"].to_numpy(), own, k)
+        ids, scores = (pd.Series([f[i] for f in found], dtype=object) for i in (0, 1))
+        return pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores})
 
     columns = [*key, "block"]
     met = (
