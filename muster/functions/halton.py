@@ -33,7 +33,8 @@ def radical_inverse(index: str, base: int, largest: int | None = None) -> Column
     """Column ``index`` mirrored at the radix point: 6 = 110 in base 2 becomes 0.011 = 0.375.
 
     A few digits at a time are mirrored through a literal table, which keeps the expression
-    small enough to be compiled. ``largest`` bounds the index and so the number of chunks.
+    small enough to be compiled. ``largest`` bounds the index and so the number of chunks; an
+    index with more digits than those cover is an error.
     """
     width = CHUNK[base]
     chunks = -(-digits_for(largest, base) // width) if largest else MAX_CHUNKS
@@ -44,4 +45,8 @@ def radical_inverse(index: str, base: int, largest: int | None = None) -> Column
     for k in range(chunks):
         chunk = F.call_function("div", F.col(index), F.lit(size**k).cast("bigint")) % size
         mirrored = mirrored + F.get(table, chunk.cast("int")) * F.lit(size ** (chunks - 1 - k))
-    return mirrored / F.lit(float(size**chunks))
+    covered = F.lit(size**chunks).cast("bigint")
+    beyond = F.concat(F.lit(f"no base-{base} coordinate for index "), F.col(index).cast("string"))
+    return F.when(F.col(index) >= covered, F.raise_error(beyond).cast("double")).otherwise(
+        mirrored / F.lit(float(size**chunks))
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,12 +64,16 @@ def cluster_readiness(
 ) -> DataFrame:
     """``(*keys, replicas_ready, configured, ready)`` per cluster.
 
-    All gating roles must be present and ready; other roles never gate. ``configured``
-    holds the keys of clusters whose config object exists (None: do not ask).
+    Every gating role must be present and ready; other roles never gate. A role that has
+    several rows is ready if all of them are; a null ``ready`` is not. ``configured`` holds the keys of clusters whose config object exists (None: do not ask).
     """
-    gate = F.col(role).isin(*gating_roles) & F.col(ready)
+    fine = F.coalesce(F.col(ready), F.lit(False))
+    each = [
+        (F.count_if(F.col(role) == name) > 0) & (F.count_if((F.col(role) == name) & ~fine) == 0)
+        for name in gating_roles
+    ]
     rolled = role_status.groupBy(*keys).agg(
-        (F.count_if(gate) == len(gating_roles)).alias("replicas_ready")
+        reduce(lambda a, b: a & b, each, F.lit(True)).alias("replicas_ready")
     )
     if configured is None:
         rolled = rolled.withColumn("configured", F.lit(True))

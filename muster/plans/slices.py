@@ -70,7 +70,7 @@ def hot_spans(
 
     def span(i: int) -> str:
         low, high = (_number(f"_{end}{i}", types[i]) for end in ("lo", "hi"))
-        step = f"floor(({high} - {low}) / ({cells})) + 1"
+        step = f"floor((double({high}) - double({low})) / ({cells})) + 1"
         return f"named_struct('axis', {i}, 'from', double({low}), 'step', double({step}))"
 
     choice = span(0)
@@ -82,6 +82,14 @@ def hot_spans(
     )
 
 
+def _slice(number: str, dtype: T.DataType) -> str:
+    """SQL for the slice of a place on the axis: nulls before all others, NaN after them."""
+    place = f"coalesce(bigint(floor((double({number}) - _from) / _step)), -1L)"
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return f"CASE WHEN isnan({number}) THEN {2**62}L ELSE {place} END"
+    return place
+
+
 def _cut(
     rows: DataFrame,
     spans: DataFrame,
@@ -95,8 +103,8 @@ def _cut(
     schema = rows.schema
     numbers = [_number(f"`{c}`", schema[c].dataType) for c in order[:2]]
     slices = " ".join(
-        f"WHEN _axis = {i} THEN coalesce(floor(({number} - _from) / _step), -1)"
-        for i, number in enumerate(numbers)
+        f"WHEN _axis = {i} THEN {_slice(number, schema[c].dataType)}"
+        for i, (c, number) in enumerate(zip(order, numbers))
         if number is not None
     )
     same = [F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in by]

@@ -16,13 +16,14 @@ def read_feed(
     path: str,
     schema: StructType | str,
     pattern: str | None = None,
-    max_bytes: int = 64 << 30,
+    max_bytes: int | None = None,
     fmt: str = "parquet",
 ) -> DataFrame:
-    """A folder of feed files as a stream, oldest file first, at most about ``max_bytes``
-    (one file at least) per micro-batch."""
+    """A folder of feed files as a stream, oldest file first: all that is there in one
+    micro-batch, or at most about ``max_bytes`` (one file at least) in each."""
     reader = spark.readStream.schema(schema).format(fmt)
-    reader = reader.option("maxBytesPerTrigger", str(max_bytes))
+    if max_bytes is not None:
+        reader = reader.option("maxBytesPerTrigger", str(max_bytes))
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(path)
@@ -32,7 +33,10 @@ def without_replays(
     feed: DataFrame, keys: Sequence[str], time: str, delay: str = "10 minutes"
 ) -> DataFrame:
     """Drops rows whose ``keys`` were seen before, as far as they are at most ``delay``
-    apart in ``time`` (a TIMESTAMP). State older than the watermark is let go."""
+    apart in ``time`` (a TIMESTAMP). State older than the watermark is let go, and **rows
+    older than the watermark are discarded**: use it only where late rows may be lost. A
+    replayed micro-batch needs no such filter, since :func:`write_batches` replaces its
+    folder; equal rows of different batches are made distinct on read."""
     return feed.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 

@@ -47,8 +47,8 @@ def write_report_summaries(
     :func:`muster.operators.timeline.report_summaries`, written under ``path/batch=<id>``.
 
     Within a micro-batch reports are put in ``order`` (a TIMESTAMP column and a unique id);
-    micro-batches count in arrival order. A report that arrives in a later batch than its
-    successor is taken as new: there is no event-time rule.
+    micro-batches count in arrival order, which has to be the order of time for each object:
+    the second hop stops with an error at a report older than one of an earlier batch.
     """
 
     def summarize(batch: DataFrame) -> DataFrame:
@@ -118,15 +118,18 @@ def _processor(
 
             entries = [row for chunk in rows for row in chunk.to_dict("records")]
             entries.sort(key=lambda row: (row["batch"], row["rank"]))
-            current, batch = None, None
+            current, batch, newest = None, None, None
             for row in entries:
                 # A batch that was written twice counts once.
                 if row["batch"] <= done:
                     continue
                 if row["batch"] != batch:
                     batch = row["batch"]
+                    newest = max((h["updated"] for h in held.values()), default=None)
                     current = max(held, key=place) if held else None
                 kind, since = row["type"], row["since"]
+                if newest is not None and min(since, row["updated"]) < newest:
+                    raise ValueError(f"batch {batch} holds a report of {key} older than an earlier batch's")
                 if current == kind:
                     if row["only_first"] and held[kind]["reason"] == row["reason"]:
                         continue
