@@ -27,7 +27,7 @@ COSINE = 0.98
 #: Rows that the codebooks are fitted on at most, drawn by a hash; rounds of the fit.
 SAMPLE, ROUNDS = 8192, 12
 #: Distinct vectors of a cell that the number of codes aims at, and codes of a half.
-CELL, LEAST_CODES, MOST_CODES = 64, 4, 256
+CELL, LEAST_CODES, MOST_CODES = 512, 4, 256
 #: Vectors of a cell compared at once, and visitors that they are compared with.
 BLOCK, VISITORS = 2048, 8192
 
