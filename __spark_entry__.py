@@ -21,7 +21,7 @@ from muster.operators import changes, estimate, ownership, replicas, rules, word
 from muster.operators.lifecycle import lifecycles  # noqa: E402
 from muster.operators.settings import layered_settings, spec_settings  # noqa: E402
 from muster.operators.timeline import condition_lists, condition_rows  # noqa: E402
-from muster.plans.slices import with_previous  # noqa: E402
+from muster.plans.slices import MIN_ROWS, with_previous  # noqa: E402
 from muster.session import shared_folder  # noqa: E402
 from muster.sources.objects import get_object, list_objects  # noqa: E402
 from muster.sources.sinks import write_lines, write_lines_if_absent  # noqa: E402
@@ -456,9 +456,9 @@ def _reports(events: DataFrame) -> DataFrame:
     )
 
 
-def _condition_lists(spark, sf_dir):
+def _condition_lists(spark, sf_dir, min_rows=MIN_ROWS):
     reports = _reports(table(spark, sf_dir, "events"))
-    return condition_lists(reports, ["user_id"], ["ts", "event_id"])
+    return condition_lists(reports, ["user_id"], ["ts", "event_id"], min_rows=min_rows)
 
 
 @query(TIMELINE_SQL)
@@ -466,6 +466,12 @@ def condition_timeline(spark, sf_dir):
     return condition_rows(_condition_lists(spark, sf_dir), ["user_id"]).drop("message")
 
 
+@query(TIMELINE_SQL)
+def condition_timeline_sliced(spark, sf_dir):
+    """The same with the log of every user of more than 4 events cut into slices."""
+    return condition_rows(_condition_lists(spark, sf_dir, 4), ["user_id"]).drop("message")
+
+
 def _event_stream(spark, sf_dir):
     """Events as a stream, on a session of its own with the RocksDB state store."""
     session = spark.newSession()
@@ -828,7 +834,7 @@ CHANGED_SQL = r"""
     from log"""
 
 
-def _versions(spark, sf_dir):
+def _versions(spark, sf_dir, min_rows=MIN_ROWS):
     """Events as versions of their user's object, each with the version before it."""
     state = F.create_map(
         F.lit("type"), F.col("event_type"), F.lit("group"), (_k() % 4).cast("string")
@@ -836,14 +842,11 @@ def _versions(spark, sf_dir):
     versions = table(spark, sf_dir, "events").select(
         "event_id", "ts", "user_id", "event_type", state.alias("labels")
     )
-    return with_previous(
-        versions, ["user_id"], ["ts", "event_id"], ["event_type", "labels"]
-    )
+    columns = ["event_type", "labels"]
+    return with_previous(versions, ["user_id"], ["ts", "event_id"], columns, min_rows=min_rows)
 
 
-@query(CHANGED_SQL)
-def changed_fields(spark, sf_dir):
-    versions = _versions(spark, sf_dir)
+def _changed_fields(versions):
     pairs = {
         "type": ("prev.event_type", "event_type"),
         "labels": ("prev.labels", "labels"),
@@ -857,6 +860,17 @@ def changed_fields(spark, sf_dir):
     )
 
 
+@query(CHANGED_SQL)
+def changed_fields(spark, sf_dir):
+    return _changed_fields(_versions(spark, sf_dir))
+
+
+@query(CHANGED_SQL)
+def changed_fields_sliced(spark, sf_dir):
+    """The same with the log of every user of more than 4 events cut into slices."""
+    return _changed_fields(_versions(spark, sf_dir, 4))
+
+
 FAN_IN_SQL = f"""
     select distinct 'Cluster' as kind, user_id::VARCHAR as name
     from ({FEED_SQL}) where op <> 'delete' and new_uid is not null"""

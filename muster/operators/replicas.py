@@ -131,12 +131,30 @@ def drift(
     )
 
 
+#: Ordinals that one row is expanded into.
+ORDINALS = 10_000
+
+
 def expected_children(
     parents: DataFrame, keys: Sequence[str], replicas: str = "replicas"
 ) -> DataFrame:
-    """``(*keys, ordinal)`` for 0 .. replicas-1; null or zero replicas expect none."""
-    return parents.where(F.col(replicas) > 0).select(
-        *keys, F.explode(F.sequence(F.lit(0), F.col(replicas) - 1)).alias("ordinal")
+    """``(*keys, ordinal)`` for 0 .. replicas-1; null or zero replicas expect none.
+
+    Parents are expanded in two steps, ``ORDINALS`` at a time: the ranges are dealt to the
+    tasks before they are filled, so a parent of very many replicas is several tasks' work.
+    """
+    # A number of partitions that is given is not merged again, as these rows are few and short.
+    tasks = int(parents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.expr(f"sequence(0L, bigint(`{replicas}`) - 1, {ORDINALS}L)")
+    last = F.least(F.col("_first") + (ORDINALS - 1), F.col("_replicas") - 1)
+    ranges = parents.where(F.col(replicas) > 0).select(
+        *keys, F.col(replicas).cast("bigint").alias("_replicas"), F.explode(first).alias("_first")
+    )
+    kind = parents.schema[replicas].dataType
+    return (
+        ranges.repartition(tasks, *keys, "_first")
+        .select(*keys, F.explode(F.sequence("_first", last)).alias("ordinal"))
+        .withColumn("ordinal", F.col("ordinal").cast(kind))
     )
 
 

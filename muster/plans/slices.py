@@ -6,10 +6,10 @@ window partitions. Here the log of a *hot* key is first cut into contiguous slic
 an own window partition; the last row of a slice is copied in front of the next slice, so
 the result is the same as with the plain window.
 
-Hot are the ``MAX_HOT`` keys with the most rows, as far as they hold more than
-``min_rows``. So the broadcast table of hot keys has at most ``MAX_HOT`` rows whatever the
-data, and every other key holds less than ``1 / MAX_HOT`` of the table (or fewer than
-``min_rows`` rows) and takes the plain window: one shuffle of the rows.
+Hot are keys with more than ``min_rows`` rows and more than ``1 / MAX_HOT`` of the table.
+There are fewer than ``MAX_HOT`` of these whatever the data, which bounds the broadcast
+table of hot keys, and every other key holds no more than a usual shuffle partition of a
+table that large: it takes the plain window, one shuffle of the rows.
 
 Slices have equal width along the first order column, or along the second where all rows
 share the first. A log with bursts fills them unevenly, so slices that are still hot are
@@ -25,17 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_HOT = 4096
+MAX_HOT = 100_000
 MIN_ROWS = 1_000_000
-# A hot log is cut into at most MAX_HOT * OVERSAMPLE slices, more than its size asks for,
-# as some will hold more than others.
+# A hot log is cut into more slices than its size asks for, as some will hold more than others.
 OVERSAMPLE = 16
-# No row is stored in fewer bytes, roughly; a smaller table than min_rows of them has no
-# hot key and gets the plain window without a look at its keys.
-ROW_BYTES = 8
 
 
-def _number(name: str, dtype: T.DataType) -> str | None:
+def number_of(name: str, dtype: T.DataType) -> str | None:
     """SQL for column ``name`` as a number that grows with it, whatever the session time
     zone; None for types without one."""
     if isinstance(dtype, T.TimestampNTZType):
@@ -48,12 +44,18 @@ def _number(name: str, dtype: T.DataType) -> str | None:
 
 
 def hot_spans(
-    rows: DataFrame, by: Sequence[str], order: Sequence[str], min_rows: int
+    rows: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    min_rows: int,
+    whole: DataFrame | None = None,
 ) -> DataFrame:
-    """The groups to be cut, at most ``MAX_HOT``: ``(_hot_<by>, _axis, _from, _step)``.
-    ``_axis`` is the position in ``order`` of the column to cut along."""
+    """The groups to be cut, fewer than ``MAX_HOT``: ``(_hot_<by>, _axis, _from, _step)``.
+    ``_axis`` is the position in ``order`` of the column to cut along; ``whole`` is the
+    table that a group's share is taken of (None: ``rows``)."""
     schema = rows.schema
     types = [schema[c].dataType for c in order[:2]]
+    total = (rows if whole is None else whole).select(F.count(F.lit(1)) / MAX_HOT).scalar()
     stats = (
         rows.groupBy(*by)
         .agg(
@@ -62,14 +64,13 @@ def hot_spans(
             *[F.max(c).alias(f"_hi{i}") for i, c in enumerate(order[:2])],
         )
         .where(F.col("_n") > min_rows)
-        # The group itself breaks ties: all uses of this table must agree on the choice.
-        .orderBy(F.col("_n").desc(), *by)
-        .limit(MAX_HOT)
+        .withColumn("_bound", F.greatest(F.lit(float(min_rows)), total))
+        .where(F.col("_n") > F.col("_bound"))
     )
-    cells = f"least(ceil(_n / {min_rows}), {MAX_HOT}) * {OVERSAMPLE}"
+    cells = f"ceil(_n / _bound) * {OVERSAMPLE}"
 
     def span(i: int) -> str:
-        low, high = (_number(f"_{end}{i}", types[i]) for end in ("lo", "hi"))
+        low, high = (number_of(f"_{end}{i}", types[i]) for end in ("lo", "hi"))
         step = f"floor((double({high}) - double({low})) / ({cells})) + 1"
         return f"named_struct('axis', {i}, 'from', double({low}), 'step', double({step}))"
 
@@ -101,23 +102,18 @@ def _cut(
     """Adds the slice number ``name``, null for rows of groups that stay whole. Rows
     without a place on the axis come first, as in the window's order."""
     schema = rows.schema
-    numbers = [_number(f"`{c}`", schema[c].dataType) for c in order[:2]]
+    numbers = [number_of(f"`{c}`", schema[c].dataType) for c in order[:2]]
     slices = " ".join(
         f"WHEN _axis = {i} THEN {_slice(number, schema[c].dataType)}"
         for i, (c, number) in enumerate(zip(order, numbers))
         if number is not None
     )
     same = [F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in by]
+    # Fewer than MAX_HOT rows of a few numbers: a proven bound for the broadcast.
     joined = rows.join(F.broadcast(spans), reduce(lambda a, b: a & b, same), how)
     return joined.withColumn(name, F.expr(f"CASE {slices} END")).drop(*spans.columns)
 
 
-def _may_be_hot(rows: DataFrame, min_rows: int) -> bool:
-    """By the optimizer's size estimate, which is very large where it knows nothing."""
-    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) >= min_rows * ROW_BYTES
-
-
 def with_previous(
     rows: DataFrame,
     keys: Sequence[str],
@@ -130,16 +126,13 @@ def with_previous(
     null for the first row of a key.
 
     ``order`` must be unique within a key and start with a timestamp or number. ``rows`` is
-    read up to four times (sizes, rows, and twice the hot rows), so it should be a table.
+    read several times (count, sizes, rows, and twice the hot rows), so it should be a table.
     """
     keys, order = list(keys), list(order)
-    if not _may_be_hot(rows, min_rows):
-        whole = Window.partitionBy(*keys).orderBy(*order)
-        return rows.withColumn(prev, F.lag(F.struct(*columns)).over(whole))
     spans = hot_spans(rows, keys, order, min_rows)
     hot = _cut(rows, spans, keys, order, "_slice", how="inner")
     by_slice = [*keys, "_slice"]
-    sub_spans = hot_spans(hot, by_slice, order, min_rows)
+    sub_spans = hot_spans(hot, by_slice, order, min_rows, whole=rows)
 
     sliced = _cut(rows, spans, keys, order, "_slice")
     sliced = _cut(sliced, sub_spans, by_slice, order, "_part").withColumn("_copy", F.lit(False))

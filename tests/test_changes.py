@@ -143,3 +143,14 @@ def test_phase_condition(spark):
     frame = spark.createDataFrame(cases, "p string, r boolean, a boolean, expected string")
     found = frame.select(phase_condition(F.col("p"), F.col("r"), F.col("a")), "expected")
     assert all(r[0] == r[1] for r in found.collect())
+
+
+def test_lifecycle_ties_and_plan(spark):
+    """Equal times are settled by the id, negative ones included; nothing is sorted."""
+    log = [("a", 5, "Failed"), ("a", -7, "Succeeded"), ("b", 2, "Failed"), ("b", 1, "Running"), ("c", 1, "Failed"), ("c", 2, "Running")]
+    frame = spark.createDataFrame(log, "app string, id bigint, phase string")
+    frame = frame.selectExpr("*", "true as ready", "timestamp'2024-01-01' as ts")
+    found = lifecycles(frame, ["app"], ["ts", "id"])
+    states = [(r.app, r.state, r.running_time is not None) for r in found.orderBy("app").collect()]
+    assert states == [("a", "Succeeded", False), ("b", "Failed", True), ("c", "Failed", False)]
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()

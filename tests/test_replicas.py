@@ -121,3 +121,13 @@ def test_missing_children(spark):
 def test_child_name(spark):
     name = replicas.child_name(F.lit("demo"), F.lit("datanode"), F.lit(3))
     assert spark.range(1).select(name).first()[0] == "demo-datanode-3"
+
+
+def test_parent_of_very_many_replicas_is_expanded_by_several_tasks(spark):
+    parents = spark.createDataFrame([(1, 95_000), (2, 10_000), (3, 10_001)], "k int, replicas int")
+    found = replicas.expected_children(parents, ["k"])
+    assert found.schema["ordinal"].dataType == parents.schema["replicas"].dataType
+    summary = found.groupBy("k").agg(F.count("*"), F.count_distinct("ordinal"), F.max("ordinal"))
+    assert rows(summary) == [(1, 95_000, 95_000, 94_999), (2, 10_000, 10_000, 9_999), (3, 10_001, 10_001, 10_000)]
+    tasks = found.where("k = 1").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 1

@@ -76,11 +76,25 @@ def test_text_as_second_order_column(spark):
     assert rows(sliced) == rows(plain(frame, ["key"], ["ts", "id"]))
 
 
-def test_keys_beyond_the_bound_take_the_plain_window(spark, monkeypatch):
-    monkeypatch.setattr(slices, "MAX_HOT", 2)
-    data = [(k, i, str((i * k) % 3)) for i in range(50) for k in range(6)]
+def test_every_one_of_many_hot_keys_is_cut(spark):
+    """5,000 keys above the threshold: no window partition exceeds it."""
+    frame = spark.range(5000 * 30).selectExpr(
+        "cast(id % 5000 as int) as key", "id div 5000 as pos", "cast(id % 7 as string) as v"
+    )
+    spans = slices.hot_spans(frame, ["key"], ["pos"], 10)
+    assert spans.count() == 5000
+    cut = slices._cut(frame, spans, ["key"], ["pos"], "_slice").groupBy("key", "_slice").count()
+    assert cut.agg(F.max("count")).first()[0] <= 10
+    sliced = slices.with_previous(frame, ["key"], ["pos"], ["v"], min_rows=10)
+    assert rows(sliced) == rows(plain(frame, ["key"], ["pos"]))
+
+
+def test_hot_is_a_share_of_the_table(spark, monkeypatch):
+    """At most a fixed number of keys is broadcast: the others hold less than its inverse."""
+    monkeypatch.setattr(slices, "MAX_HOT", 3)
+    data = [(k, i, str((i * k) % 3)) for k in range(6) for i in range(200 if k == 1 else 20)]
     frame = spark.createDataFrame(data, "key int, pos bigint, v string")
-    assert slices.hot_spans(frame, ["key"], ["pos"], 10).count() == 2
+    assert [r._hot_key for r in slices.hot_spans(frame, ["key"], ["pos"], 10).collect()] == [1]
     sliced = slices.with_previous(frame, ["key"], ["pos"], ["v"], min_rows=10)
     assert rows(sliced) == rows(plain(frame, ["key"], ["pos"]))
 
@@ -105,15 +119,3 @@ def test_without_hot_keys_one_shuffle_of_the_rows_remains(spark):
     final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert final.count("Exchange") == 1
     assert "Join" not in final and "Union" not in final
-
-
-def test_small_table_is_not_examined(spark, tmp_path):
-    path = str(tmp_path / "log")
-    spark.createDataFrame(log("even"), "key int, ts timestamp, id int, v string").write.parquet(
-        path
-    )
-    frame = spark.read.parquet(path)
-    for min_rows, examined in ((1_000_000, False), (20, True)):
-        found = slices.with_previous(frame, ["key"], ["ts", "id"], ["v"], min_rows=min_rows)
-        assert ("_slice" in found._jdf.queryExecution().analyzed().toString()) is examined
-        assert rows(found) == rows(plain(frame, ["key"], ["ts", "id"]))
