@@ -281,15 +281,21 @@ ACTIVE_SQL = """
                where l_linestatus = 'O' and l_quantity >= 5 group by all)
         on l_orderkey = o_orderkey and l_returnflag = role"""
 
+EXPECT_SQL = "case when o_custkey % 4 <> 0 then o_custkey % 3 end"
+
 ROLE_SQL = f"""
-    select *, active >= coalesce(case when o_custkey % 4 <> 0 then o_custkey % 3 end, 1) as ready
+    select *, active >= coalesce({EXPECT_SQL}, 1) as ready
     from ({ACTIVE_SQL})"""
 
 
-def _active(spark, sf_dir):
-    owners = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+def _orders(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+def _lines(spark, sf_dir):
+    """Line items as objects of their orders."""
     ready = F.when(F.col("l_linestatus") == "O", "True").otherwise("False")
-    objects = table(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"),
         F.col("l_returnflag").alias("role"),
         F.lit("Running").alias("phase"),
@@ -299,16 +305,32 @@ def _active(spark, sf_dir):
         ).alias("conditions"),
         F.when(F.col("l_quantity") < 5, F.col("l_shipdate")).alias("deleted_at"),
     )
+
+
+def _active(spark, sf_dir):
+    owners, objects = _orders(spark, sf_dir), _lines(spark, sf_dir)
     return replicas.active_replicas(owners, objects, ["o_orderkey"], FLAGS)
 
 
+def _expect():
+    return F.when(F.col("o_custkey") % 4 != 0, F.col("o_custkey") % 3)
+
+
 def _roles(spark, sf_dir):
-    expect = F.when(F.col("o_custkey") % 4 != 0, F.col("o_custkey") % 3)
     return _active(spark, sf_dir).withColumn(
-        "ready", replicas.replica_ready(F.col("active"), expect)
+        "ready", replicas.replica_ready(F.col("active"), _expect())
     )
 
 
+@query(f"select o_orderkey, role, active::INTEGER as active, ({EXPECT_SQL})::INTEGER as expect from ({ACTIVE_SQL})")
+def replica_status(spark, sf_dir):
+    owners = _orders(spark, sf_dir).withColumn("expect", _expect())
+    expected = dict.fromkeys(FLAGS, "expect")
+    found = replicas.replica_status(owners, _lines(spark, sf_dir), ["o_orderkey"], expected)
+    found = found.select("o_orderkey", F.explode("replicas").alias("role", "status"))
+    return found.select("o_orderkey", "role", "status.active", "status.expect")
+
+
 @query(f"select o_orderkey, role, active from ({ACTIVE_SQL})")
 def active_replicas(spark, sf_dir):
     return _active(spark, sf_dir).select("o_orderkey", "role", "active")
@@ -339,7 +361,7 @@ def first_open_stage(spark, sf_dir):
 
 @query("""
     select o_orderkey,
-           case when o_orderstatus = 'O' then 1
+           case when o_orderstatus = 'O' or o_custkey % 5 = 0 then 1
                 when o_orderkey % 2 = 0 and o_orderpriority <> '1-URGENT' then 2
                 when o_totalprice < 100000 then 3 end::INTEGER as open_stage
     from orders""")
@@ -351,6 +373,7 @@ def application_gate(spark, sf_dir):
         F.col("o_orderkey") % 2 == 0,
         loader,
         F.col("o_totalprice") >= 100000,
+        F.when(F.col("o_custkey") % 5 == 0, F.col("o_orderdate")),
     )
     return table(spark, sf_dir, "orders").select("o_orderkey", gate.alias("open_stage"))
 
@@ -581,10 +604,11 @@ PART_SQL = """
     from part"""
 
 
-def _parts(spark, sf_dir):
+def _parts(spark, sf_dir, *more):
     size = F.col("p_size")
     return table(spark, sf_dir, "part").select(
         "p_partkey",
+        *more,
         (size % 4).alias("namenodes"),
         (size % 3).alias("resourcemanagers"),
         F.when(size % 2 == 0, rules.DEFAULT_IMAGE).otherwise(F.col("p_brand")).alias("nn_image"),
@@ -612,6 +636,71 @@ def defaulting(spark, sf_dir):
     return filled.select("p_partkey", "replicas", "nn_image", "rm_image", "retain")
 
 
+@query(f"""
+    with given as (
+        select *, case when p_size % 11 <> 0 then rm_image end as image,
+               case when p_size % 11 <> 0 then replicas end as n
+        from ({PART_SQL}) join part using (p_partkey))
+    select p_partkey, coalesce(n, 1)::INTEGER as namenodes,
+           coalesce(nullif(image, ''), 'apache/hadoop:3') as nn_image,
+           (case when p_size % 11 = 0 then null
+                 when aggregate and coalesce(retain, 0) <= 0 then 604800
+                 else retain end)::BIGINT as retain,
+           coalesce(case when p_size % 11 <> 0 then namenodes end, 1)::INTEGER as nodemanagers,
+           'apache/hadoop:3' as dn_image,
+           case when p_size % 2 = 0 then coalesce(nullif(rm_image, ''), 'harisekhon/hbase') end as hbase_image
+    from given""")
+def cluster_defaults(spark, sf_dir):
+    """Parts as clusters; each eleventh size mentions no role, even sizes have an hbase."""
+    mentioned = F.col("p_size") % 11 != 0
+    namenode = F.struct(
+        F.col("replicas").cast("int").alias("replicas"),
+        F.col("rm_image").alias("image"),
+        F.col("aggregate").alias("log_aggregation"),
+        F.col("retain").cast("bigint").alias("retain_seconds"),
+    )
+    role = "struct<replicas: int, image: string>"
+    spec = F.struct(
+        F.when(mentioned, namenode).alias("namenode"),
+        F.lit(None).cast(role).alias("datanode"),
+        F.lit(None).cast(role).alias("resourcemanager"),
+        F.when(mentioned, F.struct(F.col("namenodes").cast("int").alias("replicas"), F.lit("").alias("image"))).alias("nodemanager"),
+        F.when(F.col("p_size") % 2 == 0, F.struct(F.col("rm_image").alias("image"))).alias("hbase"),
+    )
+    parts = _parts(spark, sf_dir, "p_size").select("p_partkey", spec.alias("spec"))
+    return rules.default_clusters(parts).select(
+        "p_partkey",
+        F.col("spec.namenode.replicas").alias("namenodes"),
+        F.col("spec.namenode.image").alias("nn_image"),
+        F.col("spec.namenode.retain_seconds").alias("retain"),
+        F.col("spec.nodemanager.replicas").alias("nodemanagers"),
+        F.col("spec.datanode.image").alias("dn_image"),
+        F.col("spec.hbase.image").alias("hbase_image"),
+    )
+
+
+@query(f"""
+    select p_partkey, coalesce(replicas, 1)::INTEGER as executors,
+           coalesce(nullif(nn_image, ''), 'apache/hadoop:3') as image,
+           case when namenodes > 0 then concat_ws(',', coalesce(nullif(rm_image, ''), 'apache/hadoop:3'), nn_image) end
+               as loader_images
+    from ({PART_SQL})""")
+def application_defaults(spark, sf_dir):
+    """Parts as applications; those with namenodes have a loader of two containers."""
+    container = [F.struct(F.col(c).alias("image")) for c in ("rm_image", "nn_image")]
+    spec = F.struct(
+        F.struct(F.col("replicas").cast("int").alias("replicas"), F.col("nn_image").alias("image")).alias("executor"),
+        F.when(F.col("namenodes") > 0, F.struct(F.array(*container).alias("containers"))).alias("dataloader"),
+    )
+    filled = rules.default_applications(_parts(spark, sf_dir).select("p_partkey", spec.alias("spec")))
+    return filled.select(
+        "p_partkey",
+        F.col("spec.executor.replicas").alias("executors"),
+        F.col("spec.executor.image").alias("image"),
+        F.array_join("spec.dataloader.containers.image", ",").alias("loader_images"),
+    )
+
+
 @query(f"""
     with checked as (
         select *, case when namenodes > 1 then 'namenode allows 1 replica, not ' || namenodes

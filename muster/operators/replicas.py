@@ -2,13 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _with_counters(
+    owners: DataFrame,
+    objects: DataFrame,
+    on: Sequence[str],
+    counters: Mapping[str, str],
+    role: str,
+    phase: str,
+    conditions: str,
+    deleted_at: str,
+) -> DataFrame:
+    """``owners`` with the active objects of each role in the column that counters names."""
+    counted = (
+        objects.where(
+            (F.col(phase) == "Running")
+            & F.col(deleted_at).isNull()
+            & F.col(role).isin(*counters)
+        )
+        .select(*on, F.col(role).alias("_role"), F.explode(conditions).alias("_condition"))
+        .where((F.col("_condition.type") == "Ready") & (F.col("_condition.status") == "True"))
+        .groupBy(*on)
+        .agg(*[F.count_if(F.col("_role") == r).alias(c) for r, c in counters.items()])
+    )
+    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in counters.values()}
+    return owners.join(counted, list(on), "left").withColumns(zero)
+
+
 def active_replicas(
     owners: DataFrame,
     objects: DataFrame,
@@ -27,26 +53,40 @@ def active_replicas(
     both sides are partitioned by the owner. ``owners`` is unique under ``on``.
     """
     counters = {r: f"_active_{i}" for i, r in enumerate(roles)}
-    counted = (
-        objects.where(
-            (F.col(phase) == "Running")
-            & F.col(deleted_at).isNull()
-            & F.col(role).isin(*roles)
-        )
-        .select(*on, F.col(role).alias("_role"), F.explode(conditions).alias("_condition"))
-        .where((F.col("_condition.type") == "Ready") & (F.col("_condition.status") == "True"))
-        .groupBy(*on)
-        .agg(*[F.count_if(F.col("_role") == r).alias(c) for r, c in counters.items()])
-    )
+    counted = _with_counters(owners, objects, on, counters, role, phase, conditions, deleted_at)
     per_role = F.array(
-        *[
-            F.struct(F.lit(r).alias("role"), F.coalesce(F.col(c), F.lit(0)).alias("active"))
-            for r, c in counters.items()
-        ]
-    )
-    return owners.join(counted, list(on), "left").select(
-        *[owners[c] for c in owners.columns], F.inline(per_role)
+        *[F.struct(F.lit(r).alias("role"), F.col(c).alias("active")) for r, c in counters.items()]
     )
+    return counted.select(*owners.columns, F.inline(per_role))
+
+
+def replica_status(
+    owners: DataFrame,
+    objects: DataFrame,
+    on: Sequence[str],
+    expected: Mapping[str, str],
+    role: str = "role",
+    phase: str = "phase",
+    conditions: str = "conditions",
+    deleted_at: str = "deleted_at",
+) -> DataFrame:
+    """``(*owner columns, replicas)``: per role of ``expected`` (role -> the owner column or
+    struct path that asks for replicas) the active and the expected number, as a MAP from
+    role to STRUCT<active, expect>. Counted like :func:`active_replicas`; no further shuffle."""
+    counters = {r: f"_active_{i}" for i, r in enumerate(expected)}
+    counted = _with_counters(owners, objects, on, counters, role, phase, conditions, deleted_at)
+    entries = [
+        part
+        for r, wanted in expected.items()
+        for part in (
+            F.lit(r),
+            F.struct(
+                F.col(counters[r]).cast("int").alias("active"),
+                F.col(wanted).cast("int").alias("expect"),
+            ),
+        )
+    ]
+    return counted.select(*owners.columns, F.create_map(*entries).alias("replicas"))
 
 
 def replica_ready(active: Column, replicas: Column, default: int = 1) -> Column:
@@ -104,9 +144,16 @@ def open_stage(*done: Column) -> Column:
 
 
 def application_open_stage(
-    cluster_running: Column, has_loader: Column, loader_phase: Column, driver_present: Column
+    cluster_running: Column,
+    has_loader: Column,
+    loader_phase: Column,
+    driver_present: Column,
+    cluster_deleted_at: Column | None = None,
 ) -> Column:
-    """Gate of an application: cluster running, data loaded (if it has a loader), driver."""
+    """Gate of an application: cluster running, data loaded (if it has a loader), driver. A
+    cluster that is being deleted doesn't count as running."""
+    if cluster_deleted_at is not None:
+        cluster_running = cluster_running & cluster_deleted_at.isNull()
     loaded = ~has_loader | F.coalesce(loader_phase == "Succeeded", F.lit(False))
     return open_stage(cluster_running, loaded, driver_present)
 

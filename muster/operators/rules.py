@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from muster.sources.schemas import GATING_ROLES
+
 # Defaults of the cluster and application tables.
 DEFAULT_REPLICAS = 1
 DEFAULT_IMAGE = "apache/hadoop:3"
@@ -34,15 +36,41 @@ def default_retention(
     return F.when(F.coalesce(aggregate, F.lit(False)) & unset, F.lit(default)).otherwise(seconds)
 
 
+def default_images(containers: Column, default: str = DEFAULT_IMAGE) -> Column:
+    """An array of structs, each without an image given the default one."""
+    return F.transform(containers, lambda c: c.withField("image", default_image(c["image"], default)))
+
+
+def _filled(frame: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+    """Sets columns and, by dotted paths, fields of structs; a null struct stays null."""
+    columns: dict[str, Column] = {}
+    for path, value in values.items():
+        column, _, field = path.partition(".")
+        whole = columns.get(column, F.col(column))
+        columns[column] = whole.withField(field, value) if field else value
+    return frame.withColumns(columns)
+
+
+def _present(frame: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """Gives the structs at these paths, where null, fields that are all null."""
+    types = frame.select(*[F.col(p).alias(str(i)) for i, p in enumerate(paths)]).schema
+    empty = {p: F.from_json(F.lit("{}"), t.dataType) for p, t in zip(paths, types)}
+    return _filled(frame, {p: F.coalesce(F.col(p), e) for p, e in empty.items()})
+
+
 def apply_defaults(
     specs: DataFrame,
     replicas: Sequence[str] = (),
     images: Mapping[str, str] | None = None,
     retention: Mapping[str, str] | None = None,
+    containers: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Fills the named replica columns, image columns (column -> default) and retention
-    columns (column -> its log-aggregation flag)."""
-    return specs.withColumns(
+    """Fills the named replica columns, image columns (column -> default), retention
+    columns (column -> its log-aggregation flag) and the images within lists of containers
+    (column -> default). Names may be dotted paths into structs; what lies in a null struct
+    stays null."""
+    return _filled(
+        specs,
         {
             **{c: default_replicas(F.col(c)) for c in replicas},
             **{c: default_image(F.col(c), d) for c, d in (images or {}).items()},
@@ -50,7 +78,31 @@ def apply_defaults(
                 c: default_retention(F.col(flag), F.col(c))
                 for c, flag in (retention or {}).items()
             },
-        }
+            **{c: default_images(F.col(c), d) for c, d in (containers or {}).items()},
+        },
+    )
+
+
+def default_clusters(clusters: DataFrame) -> DataFrame:
+    """The clusters table of :data:`muster.sources.schemas.SCHEMAS` with its defaults. A role
+    that is not mentioned gets them all; the optional hbase only where it is present."""
+    roles = [f"spec.{role}" for role in GATING_ROLES]
+    return apply_defaults(
+        _present(_present(clusters, ["spec"]), roles),
+        [f"{role}.replicas" for role in roles],
+        {f"{role}.image": DEFAULT_IMAGE for role in roles} | {"spec.hbase.image": DEFAULT_HBASE_IMAGE},
+        {"spec.namenode.retain_seconds": "spec.namenode.log_aggregation"},
+    )
+
+
+def default_applications(applications: DataFrame) -> DataFrame:
+    """The applications table with its defaults: those of the executor, and an image for each
+    container of a data loader, where there is one."""
+    return apply_defaults(
+        _present(_present(applications, ["spec"]), ["spec.executor"]),
+        ["spec.executor.replicas"],
+        {"spec.executor.image": DEFAULT_IMAGE},
+        containers={"spec.dataloader.containers": DEFAULT_IMAGE},
     )
 
 

@@ -46,7 +46,7 @@ SCHEMAS = {
         spec STRUCT<
             main_file: STRING, args: ARRAY<STRING>,
             executor: STRUCT<replicas: INT, image: STRING, delete_on_termination: BOOLEAN>,
-            dataloader: STRUCT<image: STRING>>,
+            dataloader: STRUCT<containers: ARRAY<STRUCT<name: STRING, image: STRING>>>>,
         status STRUCT<
             conditions: {CONDITIONS}, start_time: TIMESTAMP, completion_time: TIMESTAMP>""",
     "objects": f"""kind STRING, {_META}, owner {_OWNER}, replicas INT, phase STRING,

@@ -36,6 +36,28 @@ def test_active_count(spark):
     ]
 
 
+def test_replica_status(spark):
+    owners = spark.createDataFrame([(1, 2, None), (2, 0, 3)], "owner int, n int, d int")
+    objects = spark.createDataFrame(
+        [(1, "datanode", "Running", None, READY)] * 2 + [(1, "namenode", "Pending", None, READY)],
+        OBJECTS,
+    )
+    found = replicas.replica_status(owners, objects, ["owner"], {"namenode": "n", "datanode": "d"})
+    assert found.columns == ["owner", "n", "d", "replicas"]
+    status = {r.owner: {k: tuple(v) for k, v in r.replicas.items()} for r in found.collect()}
+    assert status == {
+        1: {"namenode": (0, 2), "datanode": (2, None)},
+        2: {"namenode": (0, 0), "datanode": (0, 3)},
+    }
+
+
+def test_gate_of_a_deleted_cluster(spark):
+    frame = spark.createDataFrame([("2024-01-01",), (None,)], "d string").orderBy("d")
+    yes, no = F.lit(True), F.lit(False)
+    gate = replicas.application_open_stage(yes, no, F.lit(None), yes, F.col("d"))
+    assert [r[0] for r in frame.select(gate).collect()] == [None, 1]
+
+
 def test_shuffle_carries_partial_counts(spark):
     owners = spark.createDataFrame([(1,)], "owner int")
     objects = spark.createDataFrame([(1, "datanode", "Running", None, READY)], OBJECTS)

@@ -7,6 +7,12 @@ from muster.operators.settings import layered_settings, sorted_settings, spec_se
 from muster.sources.schemas import SCHEMAS, read_table
 
 OTHER = "registry/own:1"
+ROLE = "struct<replicas: int, image: string>"
+CLUSTERS = (
+    "name string, spec struct<namenode: struct<replicas: int, image: string, "
+    "log_aggregation: boolean, retain_seconds: bigint>, "
+    f"datanode: {ROLE}, resourcemanager: {ROLE}, nodemanager: {ROLE}, hbase: {ROLE}>"
+)
 
 
 def test_defaults(spark):
@@ -32,6 +38,33 @@ def test_defaults(spark):
     ]
 
 
+def test_defaults_of_the_tables(spark):
+    clusters = spark.createDataFrame(
+        [
+            ("a", {"namenode": {"replicas": 3, "image": "", "log_aggregation": True}, "hbase": {"image": ""}}),
+            ("b", {"datanode": {"image": OTHER}}),
+            ("c", None),
+        ],
+        CLUSTERS,
+    )
+    found = {r.name: r.spec for r in rules.default_clusters(clusters).collect()}
+    assert (found["a"].namenode.replicas, found["a"].namenode.image) == (3, rules.DEFAULT_IMAGE)
+    assert found["a"].namenode.retain_seconds == 604800
+    assert found["a"].hbase.image == rules.DEFAULT_HBASE_IMAGE
+    assert found["b"].hbase is None and found["b"].datanode.image == OTHER
+    for spec in found.values():
+        assert spec.resourcemanager.replicas == 1 and spec.nodemanager.image == rules.DEFAULT_IMAGE
+
+    apps = spark.createDataFrame(
+        [("a", ([("x", None), ("y", OTHER), None],)), ("b", None)],
+        "name string, loader struct<containers: array<struct<name: string, image: string>>>",
+    ).select("name", F.struct(F.lit(None).cast("struct<replicas: int, image: string>").alias("executor"), F.col("loader").alias("dataloader")).alias("spec"))
+    found = {r.name: r.spec for r in rules.default_applications(apps).collect()}
+    assert [c and c.image for c in found["a"].dataloader.containers] == [rules.DEFAULT_IMAGE, OTHER, None]
+    assert found["b"].dataloader is None
+    assert tuple(found["b"].executor) == (1, rules.DEFAULT_IMAGE)
+
+
 @pytest.mark.parametrize(
     ("namenodes", "managers", "image", "failing", "warnings"),
     [
