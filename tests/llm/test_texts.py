@@ -178,6 +178,36 @@ def test_license_notices(spark, odd):
     assert licenses.scan(odd).count() == 0
 
 
+def plain_notices(words, known):
+    """All places where a template's words stand, the longest template first, none twice."""
+    out, taken = [], set()
+    for t in sorted(known, key=lambda t: -len(t.words)):
+        n = len(t.words)
+        for a in range(len(words) - n + 1):
+            if words[a : a + n] == t.words and not taken & set(range(a, a + n)):
+                taken |= set(range(a, a + n))
+                out.append((t.name, a))
+    return sorted(out, key=lambda x: x[1])
+
+
+def test_notices_among_many():
+    rng = np.random.default_rng(9)
+    known = licenses.templates(licenses.TEMPLATES)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 5))
+    names = list(licenses.TEMPLATES)
+    for gap in (0, 1, 20, 60, 120):
+        words = []
+        while len(words) < 3000:
+            name = names[rng.integers(len(names))]
+            words += [word() if i % 40 else "license" for i in range(1, gap + 1)]
+            words += licenses._WORD.findall(licenses.TEMPLATES[name].lower())
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+        got = [(x[0], int(np.searchsorted(starts, x[2]))) for x in licenses.find_licenses(" ".join(words), known) if not x[4] + x[5]]
+        assert got == plain_notices(words, known)
+    copies = " ".join([licenses.TEMPLATES["MIT"]] * 40)
+    assert [x[0] for x in licenses.find_licenses(copies, known)] == ["MIT"] * 40
+
+
 def test_neighbours_against_all(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = vectors.toPandas()
