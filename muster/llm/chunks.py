@@ -21,8 +21,6 @@ from muster.llm.words import slices
 
 #: Top bits that are zero at a cut (one cut in 32 places), least and most bytes of a chunk.
 BITS, LEAST, MOST = 5, 32, 512
-#: Bytes that a run of repeated chunks must have to count: shorter ones are stock phrases.
-RUN = 120
 _WINDOW = 32
 
 
@@ -96,25 +94,13 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.where("text <> ''").mapInPandas(cut, "doc_id long, two int, place int, size int, one long, other long")
 
 
-def runs(place: list[int], flag: list[bool], ends: list[int], least: int) -> list[tuple[int, int]]:
-    """Byte spans of runs of consecutive flagged places that have `least` bytes at least."""
-    out: list[list[int]] = []
-    for p in sorted(p for p, f in zip(place, flag, strict=True) if f):
-        start, end = ends[p - 1] if p else 0, ends[p]
-        if out and out[-1][1] == start:
-            out[-1][1] = end
-        else:
-            out.append([start, end])
-    return [(a, b) for a, b in out if b - a >= least]
-
-
-def deduplicate(spark: SparkSession, docs: DataFrame, run: int = RUN) -> DataFrame:
+def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_chunks, n_repeated, n_removed, kept) of each row of docs(doc_id, text).
 
-    n_repeated: bytes in runs, of at least `run` bytes, of chunks that occur more than once,
-    here or in another row. n_removed: bytes of such runs of which this is not the first
-    occurrence (that of the smallest doc_id, and there the first place); kept is the rest, as
-    binary, since a cut may fall inside a character. Null texts count as empty, an empty text
+    n_repeated: bytes of chunks, of whatever length, that occur more than once, here or in
+    another row. n_removed: bytes of those of which this is not the first occurrence (that of
+    the smallest doc_id, and there the first place); kept is the rest, as binary, since a cut
+    may fall inside a character. Null texts count as empty, an empty text
     has no chunks. Rows equal in doc_id and text are one occurrence of each chunk's owner and
     lose nothing to each other; rows without a doc_id lose to any that has one, and not to
     each other. No rows give no rows; extra columns are not looked at.
@@ -127,9 +113,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, run: int = RUN) -> DataFra
     )
     owner = owner.where("times > 1").select("one", "other", "owner").hint("rebalance")
     later = F.coalesce(F.col("owner") != F.col("doc_id"), F.lit(False)).alias("later")
-    hits = pieces.join(owner, ["one", "other"]).select("doc_id", "two", "place", "one", later)
-    hits = hits.groupBy("doc_id", "two", "place", "one", "later").agg(F.lit(1).alias("x"))
-    hits = hits.groupBy("doc_id", "two").agg(F.sort_array(F.collect_list(F.struct("place", "one", "later"))).alias("hits"))
+    hits = pieces.join(owner, ["one", "other"]).select("doc_id", "two", "place", "one", "other", later)
+    hits = hits.groupBy("doc_id", "two", "place", "one", "other", "later").agg(F.lit(1).alias("x"))
+    hits = hits.groupBy("doc_id", "two").agg(F.sort_array(F.collect_list(F.struct("place", "one", "other", "later"))).alias("hits"))
     hits = written(spark, hits.withColumnsRenamed({"doc_id": "d", "two": "t"}), "hits")
     found = rows.join(hits.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("two") == F.col("t")), "left")
 
@@ -140,16 +126,17 @@ def deduplicate(spark: SparkSession, docs: DataFrame, run: int = RUN) -> DataFra
                 raw = (text or "").encode("utf-8", "replace")
                 ends = cut_batch([raw])[0]
                 hits = [] if hits is None else list(hits)
-                place, seen, gone = [h["place"] for h in hits], set(), []
+                seen, repeated, bounds = set(), 0, [0]
                 for h in hits:
+                    start, end = ends[h["place"] - 1] if h["place"] else 0, ends[h["place"]]
+                    repeated += end - start
                     # In the owner itself, all but the first place of a chunk are later.
-                    gone.append(h["later"] or h["one"] in seen)
-                    seen.add(h["one"])
-                repeated = runs(place, [True] * len(place), ends, run)
-                removed = runs(place, gone, ends, run)
-                bounds = [0, *(x for span in removed for x in span), len(raw)]
+                    if h["later"] or (h["one"], h["other"]) in seen:
+                        bounds += [start, end]
+                    seen.add((h["one"], h["other"]))
+                bounds.append(len(raw))
                 kept = b"".join(raw[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True))
-                out.append((doc_id, len(raw), len(ends), sum(b - a for a, b in repeated), len(raw) - len(kept), kept))
+                out.append((doc_id, len(raw), len(ends), repeated, len(raw) - len(kept), kept))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_chunks", "n_repeated", "n_removed", "kept"])
 
     schema = "doc_id long, n_bytes long, n_chunks long, n_repeated long, n_removed long, kept binary"

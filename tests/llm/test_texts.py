@@ -161,6 +161,34 @@ def test_chunk_dedup(spark, odd):
     assert len(rows) == len(ODD) and chunks.deduplicate(spark, odd.limit(0)).count() == 0
 
 
+def plain_chunk_removal(docs):
+    """(n_repeated, kept) by doc_id, chunk by chunk in order of doc_id."""
+    raw = {i: t.encode() for i, t in sorted(docs)}
+    parts = {i: [t[a:b] for e in chunks.cut_batch([t]) for a, b in zip([0, *e], e, strict=False)] for i, t in raw.items()}
+    every = [c for p in parts.values() for c in p]
+    seen, out = set(), {}
+    for i, part in parts.items():
+        kept = []
+        for c in part:
+            if c not in seen:
+                kept.append(c)
+            seen.add(c)
+        out[i] = (sum(len(c) for c in part if every.count(c) > 1), b"".join(kept))
+    return out
+
+
+def test_every_repeated_chunk_goes(spark):
+    rng = np.random.default_rng(10)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefghijklm"), 6)) for _ in range(n))
+    short, line, passage = text(8), text(16), text(30)
+    docs = [(1, short), (2, short), (3, "tiny"), (4, "tiny"), (5, line + text(40)), (6, line + text(40))]
+    docs += [(10 + i, f"{text(20)} {passage} {text(20)} {passage}") for i in range(4)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_repeated, bytes(r.kept)) for r in chunks.deduplicate(spark, frame).collect()}
+    assert got == plain_chunk_removal(docs)
+    assert got[2] == (len(short), b"") and got[4] == (4, b"")
+
+
 def test_license_notices(spark, odd):
     text = "lorem ipsum. Licensed under the Apache License, Version 2.0.\nmore words\n" + licenses.TEMPLATES["MIT"]
     near = licenses.TEMPLATES["MIT"].replace("free of charge", "at no charge") + " All rights reserved."
