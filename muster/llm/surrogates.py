@@ -69,8 +69,12 @@ def _draw(noise: Column, place: Column, below: int) -> Column:
     return F.conv(F.substring(noise, place * 7 + 1, F.lit(7)), 16, 10).cast("long") % below
 
 
-def _redraw(entity: Column, key: str, attempt: Column, keep: Column) -> Column:
-    """Each letter and digit after the first `keep` characters drawn anew in its own class."""
+def _redraw(entity: Column, key: str, attempt: Column, keep: Column, bare: Column | None = None) -> Column:
+    """Each letter and digit after the first `keep` characters drawn anew in its own class.
+
+    Other scripts' are drawn as Latin ones; where `bare` holds, other characters that are not
+    white space or quotes are drawn as small letters.
+    """
 
     def each(c: Column, i: Column) -> Column:
         noise = _noise(key, entity, attempt.cast("string"), i.cast("string"))
@@ -78,17 +82,30 @@ def _redraw(entity: Column, key: str, attempt: Column, keep: Column) -> Column:
         def one(of: str) -> Column:
             return F.substring(F.lit(of), (_draw(noise, F.lit(0), len(of)) + 1).cast("int"), F.lit(1))
 
+        small = c.rlike(r"[\p{L}\p{N}]")
+        if bare is not None:
+            small = small | (bare & ~c.rlike("[\\s\"']"))
         return (
             F.when(i < keep, c)
-            .when(c.rlike("[a-z]"), one("abcdefghijklmnopqrstuvwxyz"))
-            .when(c.rlike("[A-Z]"), one("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+            .when(c.rlike(r"[A-Z\p{Lu}]"), one("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
             .when(c.rlike("[0-9]"), one("0123456789"))
+            .when(small, one("abcdefghijklmnopqrstuvwxyz"))
             .otherwise(c)
         )
 
     return F.array_join(F.transform(_characters(entity), each), "")
 
 
+#: Attempts after which draws that may have too small a space grow by a character each.
+SAME_LENGTH = 3
+
+
+def _more(entity: Column, key: str, attempt: Column, of: str) -> Column:
+    """What later attempts add: a character for each after SAME_LENGTH, at most 16."""
+    noise = F.translate(_noise(key, entity, attempt.cast("string"), F.lit("more")), "0123456789abcdef", of)
+    return F.substring(noise, F.lit(1), F.greatest(F.lit(0), F.least(attempt - SAME_LENGTH, F.lit(16))).cast("int"))
+
+
 def _characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
@@ -129,6 +146,14 @@ def surrogate(entity: Column, type_: Column, attempt: Column, key: str = KEY) ->
     def after(prefix: str) -> Column:
         return _redraw(entity, key, attempt, F.length(F.regexp_extract(entity, prefix, 0)))
 
+    letters, digits = (_more(entity, key, attempt, of) for of in ("abcdefghijklmnop", "0123456789012345"))
+    # A secret without a letter or digit is drawn whole; what lengthens one stays within its quotes.
+    value = F.regexp_replace(entity, f"^{_SECRET}", "")
+    bare = ~value.rlike(r"[\p{L}\p{N}]")
+    secret = _redraw(entity, key, attempt, F.length(entity) - F.length(value), bare)
+    quote = F.regexp_extract(secret, "[\"']$", 0)
+    secret = F.concat(F.regexp_replace(secret, "[\"']$", ""), letters, quote)
+
     noise = _noise(key, entity, attempt.cast("string"))
     octets = [_draw(noise, F.lit(i), 223 if i == 0 else 254) + 1 for i in range(4)]
     body = F.regexp_replace(after("^."), r"\d$", "")
@@ -139,11 +164,11 @@ def surrogate(entity: Column, type_: Column, attempt: Column, key: str = KEY) ->
     top = F.concat(F.lit("."), F.substring_index(host, ".", -1))
     domain = F.regexp_replace(host, r"\.[A-Za-z]+$", "")
     out = (
-        F.when(type_ == "email", F.concat(_redraw(name, key, by_host, F.lit(0)), F.lit("@"), _redraw(domain, key, attempt, F.lit(0)), top))
-        .when(type_ == "secret", after(f"^{_SECRET}"))
+        F.when(type_ == "email", F.concat(_redraw(name, key, by_host, F.lit(0)), letters, F.lit("@"), _redraw(domain, key, attempt, F.lit(0)), top))
+        .when(type_ == "secret", secret)
         .when(type_ == "access_key", after("^AKIA"))
         .when(type_ == "ip", F.concat_ws(".", *(o.cast("string") for o in octets)))
-        .when(type_ == "phone", after(r"^\+\d{1,3}"))
+        .when(type_ == "phone", F.concat(after(r"^\+\d{1,3}"), digits))
         .when(type_ == "card", F.concat(body, check.cast("string")))
     )
     for (gender, script), names in NAMES.items():

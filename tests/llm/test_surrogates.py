@@ -91,6 +91,24 @@ def test_keys_differ_and_runs_agree(spark):
     assert runs[0] == runs[1] != runs[2]
 
 
+def test_entities_without_a_letter_end(spark):
+    """Before, these drew themselves for ever."""
+    texts = ["password=________", "secret=--------", "mail _@-.com", 'token = "--------"', "password=abcdefgh"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = surrogates.replace_entities(spark, docs).collect()
+    assert len({r.text for r in rows}) == len(texts) and all(r.n_entities == 1 for r in rows)
+    assert not {r.text for r in rows} & set(texts)
+    got = {r.doc_id: r.text for r in rows}
+    assert re.fullmatch('token = "[a-z]{8}"', got[3]) and re.fullmatch("password=[a-z]{8}", got[0])
+
+
+def test_small_spaces_grow(spark):
+    """All 26 names of one letter at a domain of one letter, each domain too: no draw of that length is free."""
+    found = [f"{a}@{b}.org" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    rows = surrogates.surrogates(spark, spark.createDataFrame([(x,) for x in found], "entity string")).collect()
+    assert len({r.surrogate for r in rows}) == len(found) and not {r.surrogate for r in rows} & set(found)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, extra int")
     out = surrogates.replace_entities(spark, docs)
