@@ -33,16 +33,22 @@ _ENDS = {
 }
 _SURNAME = {"latin": r"(?: [A-Z][a-z]{2,}\b)?", "cyrillic": r"(?: [А-Я][а-я]{2,})?"}
 
-_SECRET = r"(?:password=|token = \"|api_key=|secret=)"
+#: Key and sign in front of a secret: any case, white space around `=`; after `:` only quoted values.
+_SECRET = r"(?i:password|passwd|passphrase|pwd|secret(?:[_-](?:access[_-])?key)?|token|(?:api|access|private)[_-]?key)[\"']?\s{0,8}(?:=|:(?=\s{0,8}[\"']))\s{0,8}"
+_H = "[0-9A-Fa-f]{1,4}"
 #: Patterns by type; the first that matches at a place wins. All are linear: no nested repeats.
+#: A secret goes to its closing quote or, without quotes, to white space; of what then ends it,
+#: punctuation of the sentence is left.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "secret": _SECRET + r"[0-9A-Za-z_\-]{8,256}",
+    "secret": _SECRET + r"(?:\"[^\"]++\"|'[^']++'|\S*[^\s\"',.;:)\]}>])",
     "access_key": r"\bAKIA[A-Z0-9]{16}\b",
+    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "ipv6": rf"(?<![\w:.])(?:(?:{_H}:){{7}}{_H}|(?:{_H}(?::{_H}){{0,6}})?::{_H}(?::{_H}){{0,6}}|{_H}(?::{_H}){{1,6}}::)(?![\w:]|\.\d)",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d.]?\d)",
-    "phone": r"\+\d{1,3}[ -]?\(?\d{2,4}\)?(?:[ -]?\d{2,4}){2,3}(?!\d)",
+    "phone": r"(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}|(?<![\d+.-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<!\d)[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
+    "card": r"(?<!\d)(?:(?:[3-6]\d{3}|2[2-7]\d{2})(?:[ -]?\d{4}){2}[ -]?\d{1,7}|3[47]\d{2}[ -]\d{6}[ -]\d{5})(?!\d)",
 } | {f"{gender}_{script}": rf"(?<![\p{{L}}])(?:{'|'.join(names)}){_SURNAME[script]}(?![\p{{L}}])" for (gender, script), names in NAMES.items()}
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -121,6 +127,18 @@ def luhn(number: Column) -> Column:
     return F.aggregate(F.transform(digits, worth), F.lit(0), lambda a, x: a + x)
 
 
+def _iban(drawn: Column) -> Column:
+    """An account number with its two check digits (modulo 97) set right."""
+
+    def add(rest: Column, c: Column) -> Column:
+        digit = c.rlike("[0-9]")
+        return (F.when(digit, rest * 10 + c.cast("int")).otherwise(rest * 100 + F.ascii(c) - 55) % 97).cast("int")
+
+    moved = F.concat(F.regexp_replace(F.substring(drawn, F.lit(5), F.length(drawn)), " ", ""), F.substring(drawn, 1, 2), F.lit("00"))
+    check = 98 - F.aggregate(_characters(moved), F.lit(0), add)
+    return F.concat(F.substring(drawn, 1, 2), F.lpad(check.cast("string"), 2, "0"), F.substring(drawn, F.lit(5), F.length(drawn)))
+
+
 def _syllables(noise: Column, ends: Column, first: int, n: Column) -> Column:
     """So many syllables, at most 8."""
     places = F.slice(F.sequence(F.lit(first), F.lit(first + 7)), F.lit(1), n)
@@ -169,6 +187,8 @@ def surrogate(entity: Column, type_: Column, attempt: Column, key: str = KEY) ->
         .when(type_ == "access_key", after("^AKIA"))
         .when(type_ == "ip", F.concat_ws(".", *(o.cast("string") for o in octets)))
         .when(type_ == "phone", F.concat(after(r"^\+\d{1,3}"), digits))
+        .when(type_ == "iban", _iban(after("^[A-Z]{2}")))
+        .when(type_ == "ipv6", F.concat_ws(":", *(F.substring(noise, 4 * i + 1, 4) for i in range(8))))
         .when(type_ == "card", F.concat(body, check.cast("string")))
     )
     for (gender, script), names in NAMES.items():

@@ -91,6 +91,34 @@ def test_keys_differ_and_runs_agree(spark):
     assert runs[0] == runs[1] != runs[2]
 
 
+WHOLE = [
+    ('token = "eyJhbGciOi.eyJzdWIiOi.SflKxwRJSM" end', r'token = "[\w.]+" end'),
+    ("password=abcd1234+efgh/5678== end", r"password=\w{8}\+\w{4}/\w{4}== end"),
+    ("api_key=" + "k3" * 300 + " end", r"api_key=\w{600} end"),
+    ("PASSWORD=hunter2, and secret = 0pensesame.", r"PASSWORD=\w{7}, and secret = \w{10}\."),
+    ('{"client_secret": "correct horse battery"}', r'{"client_secret": "\w{7} \w{5} \w{7}"}'),
+    ("call (212) 555-8457 or 212-555-8457", r"call \(\d{3}\) \d{3}-\d{4} or \d{3}-\d{3}-\d{4}"),
+    ("2223003122003222 and 3782 822463 10005", r"2\d{15} and 3\d{3} \d{6} \d{5}"),
+    ("from 2001:db8::ff00:42:8329 and fe80::1", r"from [0-9a-f:]{39} and [0-9a-f:]{39}"),
+    ("DE89 3704 0044 0532 0130 00", r"DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d"),
+]
+
+
+def test_whole_values_go(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(WHOLE)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in surrogates.replace_entities(spark, docs).collect()}
+    for i, (old, form) in enumerate(WHOLE):
+        assert re.fullmatch(form, got[i]), got[i]
+        parts = [p for p in re.findall(r"\w{4,}", old) if p.lower() not in ("token", "password", "api_key", "secret", "client_secret", "call", "from")]
+        assert parts and not [p for p in parts if p in got[i]], got[i]
+    assert all(luhn(n) for n in got[6].split(" and "))
+    code = got[8].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+    plain = "std::vector at 12:30:45, a token of 4 of them, the secret: unknown"
+    rows = surrogates.replace_entities(spark, spark.createDataFrame([(1, plain)], "doc_id long, text string")).collect()
+    assert rows[0].text == plain and rows[0].n_entities == 0
+
+
 def test_entities_without_a_letter_end(spark):
     """Before, these drew themselves for ever."""
     texts = ["password=________", "secret=--------", "mail _@-.com", 'token = "--------"', "password=abcdefgh"]
