@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from muster.llm.common import written
 
-#: Tables, and buckets of each that a query probes. On random directions in 64 dimensions,
-#: where no hashing has it easy, the share of the 20 nearest found falls as vectors get fewer
-#: (their neighbours are then farther off): 10 probes found 0.955 among 10,000 vectors, but
-#: 0.89 among 500.
+#: Tables, and the fewest buckets of each that a query probes. How many it takes depends on
+#: dimension, lengths and directions, and is measured: SAMPLE queries of each dimension are
+#: compared with every row, and probes are as many as find the share RECALL of their nearest.
 TABLES, PROBES = 8, 16
+SAMPLE, RECALL = 64, 0.95
 #: Rows of a bucket that are compared at once; larger buckets are cut into blocks.
 BLOCK = 4096
 SEED = 7
@@ -104,6 +104,51 @@ def best(query: np.ndarray, rows: np.ndarray, ids: np.ndarray, own: np.ndarray,
     return out
 
 
+def axes(d: int) -> int:
+    """Signed axes of a table: its buckets in a band."""
+    return 2 << max(0, (d - 1).bit_length())
+
+
+def choose_probes(named: DataFrame, k: int, every: int, tables: int, least: int) -> dict[int, int]:
+    """Probes in each table by dimension; 0 where all rows are to be scanned.
+
+    They are scanned where rows are few, and where so many probes would meet as many rows.
+    """
+    plan = {}
+    d = F.size("v")
+    for r in named.groupBy(d.alias("d")).agg(F.count("*").alias("n")).collect():
+        plan[r.d] = 0
+        if r.n <= BLOCK or tables * least >= axes(r.d):
+            continue
+        mine = named.where(d == r.d)
+        asked = mine.where(F.col("vec_id") % every == 0).orderBy(F.xxhash64("vec_id"), "v").limit(SAMPLE).collect()
+        if not asked:
+            continue
+        q, own = np.array([x.v for x in asked]), np.array([x.vec_id for x in asked])
+
+        def rank(frames: Iterator[pd.DataFrame], q=q, own=own, n=axes(r.d)) -> Iterator[pd.DataFrame]:
+            unit = _unit(list(q))[0]
+            place = [np.argsort(probes(unit, t, n), axis=1) for t in range(tables)]
+            for f in frames:
+                if f.empty:
+                    continue
+                x, ids = np.stack(f["v"].tolist()), f["vec_id"].to_numpy()
+                bucket = np.stack([probes(_unit(list(x))[0], t, 1)[:, 0] for t in range(tables)])
+                row = {i: j for j, i in enumerate(ids)}
+                out = []
+                for i, (found, score) in enumerate(best(q, x, ids, own, k)):
+                    for v, s in zip(found, score, strict=True):
+                        out.append((i, s, min(int(place[t][i, bucket[t, row[v]]]) for t in range(tables))))
+                yield pd.DataFrame(out, columns=["q", "score", "probe"])
+
+        nearest = Window.partitionBy("q").orderBy(F.desc("score"))
+        met = mine.mapInPandas(rank, "q long, score double, probe int").withColumn("rank", F.row_number().over(nearest))
+        at = sorted(x.probe for x in met.where(F.col("rank") <= k).select("probe").collect())
+        need = max(least, at[int(np.ceil(RECALL * len(at))) - 1] + 1) if at else axes(r.d)
+        plan[r.d] = need if tables * need < axes(r.d) else 0
+    return plan
+
+
 def search(
     spark: SparkSession,
     vectors: DataFrame,
@@ -122,36 +167,40 @@ def search(
     that repeat a vec_id, each is searched with, and the best counts. No rows give no rows.
     Extra columns are not looked at.
 
-    Every row is indexed, in each table. Vectors travel to their buckets once a table, and
-    queries once a probe; only the k best of each meeting leave it. A bucket of any size is
+    Every row is indexed. Where choose_probes() says so, in one table, of which queries probe
+    all buckets, so that the result is exact; else in each table, and queries that met fewer
+    than k rows probe all buckets of the first. Vectors travel to their buckets once a table,
+    and queries once a probe; only the k best of each meeting leave it. A bucket of any size is
     cut into blocks of some BLOCK rows, by a hash of the id, and its queries go to each; the
     table of bucket sizes has 2 * dimensions * tables rows for each band of lengths.
     """
     named = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
     named = named.where("vec_id is not null").where(usable(F.col("v")))
     bucket = "d int, t int, band long, axis int"
+    plan = choose_probes(named, k, every, tables, n_probes)
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for d, g in f.groupby(f["v"].map(len)):
                 x, band = _unit(g["v"].tolist())
-                for t in range(tables):
+                for t in range(tables if plan[d] else 1):
                     yield pd.DataFrame(
                         {"d": d, "t": t, "band": band, "axis": probes(x, t, 1)[:, 0], "vec_id": g["vec_id"], "v": g["v"]}
                     )
 
-    def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def probe(frames: Iterator[pd.DataFrame], whole: bool = False) -> Iterator[pd.DataFrame]:
         for f in frames:
             for d, g in f.groupby(f["v"].map(len)):
                 x, _ = _unit(g["v"].tolist())
-                for t in range(tables):
-                    axes = probes(x, t, n_probes)
-                    n = axes.shape[1]
+                n = 0 if whole else plan[d]
+                for t in range(tables if n else 1):
+                    near = probes(x, t, n or axes(d))
+                    n = near.shape[1]
                     yield pd.DataFrame(
                         {
                             "d": d,
                             "t": t,
-                            "axis": axes.ravel(),
+                            "axis": near.ravel(),
                             "vec_id": g["vec_id"].repeat(n),
                             "v": g["v"].repeat(n),
                         }
@@ -161,17 +210,10 @@ def search(
     indexed = named.mapInPandas(index, f"{bucket}, vec_id long, v array<double>")
     sizes = indexed.groupBy(*key).agg(F.count("*").alias("n"))
     sizes = written(spark, sizes.select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
-    asked = named.where(F.col("vec_id") % every == 0).mapInPandas(
-        probe, "d int, t int, axis int, vec_id long, v array<double>"
-    )
     # One row for each bucket: at most 2 * dimensions * tables for each band, which no
     # number of vectors changes.
     few = F.broadcast(sizes)
     rows = indexed.join(few, key).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    asked = asked.join(few, ["d", "t", "axis"]).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    )
-
     def meet(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         found, own = [], np.empty(0, np.int64)
         if len(asked) and len(rows):
@@ -182,14 +224,28 @@ def search(
         return pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores})
 
     columns = [*key, "block"]
-    met = (
-        asked.select(*columns, "vec_id", "v")
-        .groupBy(*columns)
-        .cogroup(rows.select(*columns, "vec_id", "v").groupBy(*columns))
-        .applyInPandas(meet, "query_id long, vec_id array<long>, score array<double>")
-    )
-    pairs = met.select("query_id", F.explode(F.arrays_zip("vec_id", "score")).alias("x"))
-    pairs = pairs.groupBy("query_id", F.col("x.vec_id").alias("vec_id")).agg(F.max("x.score").alias("score"))
+
+    def pairs(queries: DataFrame, whole: bool) -> DataFrame:
+        asked = queries.mapInPandas(lambda f: probe(f, whole), "d int, t int, axis int, vec_id long, v array<double>")
+        asked = asked.join(few, ["d", "t", "axis"])
+        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        met = (
+            asked.select(*columns, "vec_id", "v")
+            .groupBy(*columns)
+            .cogroup(rows.select(*columns, "vec_id", "v").groupBy(*columns))
+            .applyInPandas(meet, "query_id long, vec_id array<long>, score array<double>")
+        )
+        out = met.select("query_id", F.explode(F.arrays_zip("vec_id", "score")).alias("x"))
+        return out.select("query_id", F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+
+    queries = named.where(F.col("vec_id") % every == 0)
+    found = pairs(queries, False)
+    if any(plan.values()):
+        found = written(spark, found, "found")
+        enough = found.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).where(F.col("n") >= k)
+        short = queries.join(enough, queries["vec_id"] == enough["query_id"], "left_anti")
+        found = found.unionByName(pairs(short, True))
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

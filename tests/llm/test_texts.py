@@ -262,6 +262,35 @@ def test_neighbours_odd_rows(spark):
     assert neighbours.search(spark, frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("n", "d", "spread"), [(15, 64, 0), (100, 64, 0), (1500, 64, 1), (1500, 256, 0)])
+def test_neighbours_of_any_table(spark, n, d, spread):
+    rng = np.random.default_rng(n + d)
+    x = rng.normal(size=(n, d))
+    x *= rng.lognormal(0, spread, (n, 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(spark, frame).toPandas().groupby("query_id").vec_id.apply(set)
+    hits = want = 0
+    for q in range(0, n, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        best = set(np.argsort(-score)[: min(20, n - 1)].tolist())
+        assert len(got[q]) == len(best)
+        hits, want = hits + len(best & got[q]), want + len(best)
+    assert hits >= 0.95 * want
+
+
+def test_neighbours_measure_their_probes(spark, monkeypatch):
+    """With few rows to a block, probes are measured and short queries scan."""
+    monkeypatch.setattr(neighbours, "BLOCK", 100)
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.normal(size=(40, 256)), 25, 0) + 0.1 * rng.normal(size=(1000, 256))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(spark, frame, n_probes=1).toPandas().groupby("query_id").vec_id.apply(set)
+    best = {q: set(np.argsort(-np.where(np.arange(1000) == q, -np.inf, x @ x[q]))[:20].tolist()) for q in range(0, 1000, 20)}
+    assert all(len(got[q]) == 20 for q in best)
+    assert sum(len(got[q] & best[q]) for q in best) >= 0.95 * 20 * len(best)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
