@@ -56,8 +56,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Hash voting, a fitted classifier and tokenizing have no SQL; tests hold run() against a
-#: row-at-a-time version.
+#: Hash voting, a fitted classifier and tokenizing have no SQL. Tests hold the stages' columns,
+#: counts and ids; there is no row-at-a-time version of run().
 ORACLE_SQL = None
 
 
