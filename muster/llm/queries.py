@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import chunks, licenses, mixing, neighbours, packing, simhash, suffixes, surrogates, toxicity, vectors
+from muster.llm import chunks, licenses, mixing, neighbours, packing, simhash, suffixes, surrogates, toxicity, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -166,3 +166,71 @@ def op9_multi_index(spark, sf_dir):
 def op10_chunks(spark, sf_dir):
     found = chunks.deduplicate(spark, table(spark, sf_dir, "documents"))
     return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
+#: Host, path and verdict of the listed rules.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+URL_SQL = rf"""
+    with split as (
+        select page_id, url,
+            coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+            coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
+        from pages),
+    listed(h, p, v) as (values {", ".join(map(str, URL_RULES))}),
+    parts as (
+        select *, row_number() over () as n,
+            array_to_string(list_sort(list_distinct(list_transform(string_split(
+                regexp_extract(regexp_extract(url, '(?s)://(.*)', 1), '(?s)^[^?#]*\?([^#]*)', 1), '&'),
+                lambda x: string_split(x, '=')[1]))), ',') as params,
+            string_split(host, '.') as names,
+            (select max_by(h || p, length(h || p)) from listed
+                where (host = h or ends_with(host, '.' || h)) and starts_with(path, p)) as rule
+        from split),
+    read as (
+        select *, (select v from listed where h || p = rule) as listed_verdict,
+            list_filter([
+                nullif('dir=' || regexp_extract(path, '(?s)^/([^/]+)', 1), 'dir='),
+                nullif('domain=' || array_to_string(names[-2:], '.'), 'domain='),
+                nullif('host=' || host, 'host='),
+                nullif('leaf=' || regexp_replace(regexp_extract(path, '(?s)([^/]+)/*$', 1), '[0-9]+', '0', 'g'), 'leaf='),
+                nullif('params=' || params, 'params='),
+                nullif('scheme=' || regexp_extract(url, '(?s)^(.*?)://', 1), 'scheme='),
+                nullif('sub=' || names[1], 'sub='),
+                nullif('tld=' || names[-1], 'tld=')], lambda x: x is not null) as tokens
+        from parts),
+    labelled as (
+        select tokens, listed_verdict as verdict, count(*) over () as total from read where rule is not null),
+    sets as (
+        select list_filter(tokens, lambda x, i: (m >> (i - 1)) % 2 = 1) as held, verdict, total
+        from (select *, unnest(range(1, 1 << len(tokens))) as m from labelled)),
+    counted as (
+        select held, verdict, any_value(total) as total, count(*) as n,
+            sum(count(*)) over (partition by held) as of_all
+        from sets group by held, verdict),
+    strong as (
+        select held, verdict, n / of_all as confidence, n / total as support
+        from counted
+        where n >= ceil({urls.MIN_SUPPORT}::DOUBLE * total) and n / of_all >= {urls.MIN_CONFIDENCE}::DOUBLE),
+    rules as (
+        select *, array_to_string(held, chr(31)) as name from strong a
+        where not exists (
+            select 1 from strong b where b.verdict = a.verdict and len(b.held) < len(a.held)
+                and b.confidence >= a.confidence and list_has_all(a.held, b.held))),
+    mined as (
+        select n, max_by(r.verdict, {{'c': confidence, 's': support, 'k': len(held), 'name': name}}) as verdict
+        from read join rules r on list_has_all(tokens, held) where rule is null group by n)
+    select page_id, host, path, rule, coalesce(listed_verdict, mined.verdict, 'allow') as verdict
+    from read left join mined using (n)"""
+
+
+@query(URL_SQL)
+def op13_url_rules(spark, sf_dir):
+    return urls.judge(spark, table(spark, sf_dir, "pages"), URL_RULES)
