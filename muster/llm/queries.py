@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import chunks, licenses, mixing, neighbours, packing, simhash, suffixes, surrogates, toxicity, urls, vectors
+from muster.llm import chunks, licenses, mixing, negatives, neighbours, packing, simhash, suffixes, surrogates, toxicity, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -168,6 +168,40 @@ def op10_chunks(spark, sf_dir):
     return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+NEGATIVE_SQL = """
+    with usable as (
+        select row_number() over () as node, vec_id,
+            case when vec_id % 7 = 0 then (label::BIGINT + 1) % 10 else label end as label,
+            list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) as q
+        from embeddings
+        where vec_id is not null and label is not null and embedding is not null
+            and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+    scores as (
+        select a.node, a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+            coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])), 0)::BIGINT as score
+        from usable a join usable b on a.node <> b.node and len(a.q) = len(b.q)
+        where a.vec_id % 100 = 0),
+    positives as (
+        select *, row_number() over (partition by node order by score desc, vec_id) as place
+        from scores where same qualify place <= 5),
+    negatives as (
+        select p.node, p.anchor_id, p.place, p.vec_id as positive_id, n.vec_id as negative_id,
+            p.score as positive_score, n.score as negative_score,
+            row_number() over (partition by p.node, p.place order by n.score desc, n.vec_id) as rank
+        from positives p join scores n using (node)
+        where not n.same and 80 * p.score <= 100 * n.score and n.score <= p.score
+        qualify rank <= 5)
+    select anchor_id, positive_id, rank::INTEGER as rank, negative_id, positive_score, negative_score
+    from negatives"""
+
+
+@query(NEGATIVE_SQL)
+def op11_hard_negatives(spark, sf_dir):
+    label = F.col("label").cast("long")
+    changed = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine(spark, table(spark, sf_dir, "embeddings").withColumn("label", changed))
+
+
 #: Host, path and verdict of the listed rules.
 URL_RULES = [
     ("com", "/", "allow"),
