@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import chunks, licenses, mixing, negatives, neighbours, packing, simhash, suffixes, surrogates, toxicity, urls, vectors
+from muster.llm import chunks, conversations, licenses, mixing, negatives, neighbours, packing, simhash, suffixes, surrogates, toxicity, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -202,6 +202,93 @@ def op11_hard_negatives(spark, sf_dir):
     return negatives.mine(spark, table(spark, sf_dir, "embeddings").withColumn("label", changed))
 
 
+def _way(state: int, cost: int, audit: str, line: str = "''") -> str:
+    """SQL for one more edit on the way to a state; a truncated row that stays costs 5 more."""
+    stays = "" if audit == "D" else " + p.extra"
+    return f"{{'c': w[{state + 1}].c + {cost}{stays}, 'a': w[{state + 1}].a || '{audit}', 'r': w[{state + 1}].r || {line}}}"
+
+
+def _ways(after: int) -> str:
+    """SQL for the best way to state `after` with the row p, from the ways w to each state."""
+    kept = "chr(10) || p.role || ':' || p.text"
+    same = _way(after, 2, "D")
+    if after == 0:
+        return f"[{same}]"
+    if after == 1:
+        return f"list_filter([{same}, case when p.i = 's' then {_way(0, 0, 'K', kept)} end], lambda x: x is not null)"
+    name, other = ("user", "assistant") if after == 2 else ("assistant", "user")
+    line, missing = f"chr(10) || '{name}:' || p.text", f"chr(10) || '{other}:' || "
+    before, far = ([0, 1, 3], [2]) if after == 2 else ([2], [0, 1, 3])
+    near = [(s, 0, "", "") for s in before] + [(s, 5, "I", missing) for s in far]
+    ways = [same, *(_way(s, 1 + c, f"{i}R", m + line) for s, c, i, m in near)]
+    keep = [f"case when p.i = '{name[0]}' then {_way(s, c, f'{i}K', m + kept)} end" for s, c, i, m in near]
+    return f"list_filter([{', '.join(ways + keep)}], lambda x: x is not null)"
+
+
+REPAIR_SQL = rf"""
+    with recursive bits(i, c, k) as (
+        select range, range, 0 from range(256)
+        union all
+        select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8),
+    named as (
+        select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+            coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') as s
+        from conversations),
+    sums(s, k, c) as (
+        select distinct s, 0, 4294967295 from named
+        union all
+        select s, sums.k + 1, xor(bits.c, sums.c >> 8)
+        from sums join bits on bits.k = 8 and bits.i = xor(sums.c, ascii(s[sums.k + 1])) & 255
+        where sums.k < length(s)),
+    kinds as (select s, xor(c, 4294967295) % 20 as kind from sums where k = length(s)),
+    damaged as (
+        select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+            case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+            unnest(range(case when kind = 3 then 2 else 1 end)) as copy
+        from named join kinds using (s) where kind <> 0),
+    placed as (
+        select *, left(role, 1) as i, regexp_replace(text, '[\x20\x09-\x0D]+$', '') as tail,
+            row_number() over (partition by conv_id order by turn nulls first, role, text) as k,
+            row_number() over (partition by conv_id, role, text order by turn nulls first) > 1 as again
+        from damaged),
+    judged as (
+        select *, tail = '' as blank, tail <> '' and again as duplicate,
+            tail <> '' and not again and right(tail, 1) not in ('.', '!', '?') as truncated,
+            case when truncated then 5 else 0 end as extra,
+            coalesce(lag(i) over (partition by conv_id order by k) || i not in ('su', 'ua', 'au'), false) as illegal
+        from placed),
+    best(conv_id, k, w) as (
+        select distinct conv_id, 0::BIGINT, [
+            {{'c': 0::BIGINT, 'a': '', 'r': ''}}, {{'c': 1000000000::BIGINT, 'a': '', 'r': ''}},
+            {{'c': 1000000000::BIGINT, 'a': '', 'r': ''}}, {{'c': 1000000000::BIGINT, 'a': '', 'r': ''}}]
+        from conversations
+        union all
+        select w.conv_id, p.k,
+            case when blank or duplicate then list_transform(w, lambda x: {{'c': x.c + 2, 'a': x.a || 'D', 'r': x.r}})
+            else [{", ".join(f"list_min({_ways(s)})" for s in range(4))}] end
+        from best w join judged p on p.conv_id is not distinct from w.conv_id and p.k = w.k + 1),
+    ended as (
+        select conv_id, list_min([
+            w[1], w[4], {{'c': w[3].c + 5, 'a': w[3].a || 'I', 'r': w[3].r || chr(10) || 'assistant:'}},
+            {{'c': w[2].c + 10, 'a': w[2].a || 'II', 'r': w[2].r || chr(10) || 'user:' || chr(10) || 'assistant:'}}]) as x
+        from best qualify k = max(k) over (partition by conv_id)),
+    counted as (
+        select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count_if(blank) as blank,
+            count_if(duplicate) as duplicate, count_if(truncated) as truncated, count_if(illegal) as illegal
+        from judged group by conv_id)
+    select e.conv_id, coalesce(gaps, 0)::BIGINT as gaps, coalesce(blank, 0)::BIGINT as blank,
+        coalesce(duplicate, 0)::BIGINT as duplicate, coalesce(truncated, 0)::BIGINT as truncated,
+        coalesce(illegal, 0)::BIGINT as illegal, x.c as cost, x.a as audit, sha256(substr(x.r, 2)) as repaired_sha256
+    from ended e left join counted c on e.conv_id is not distinct from c.conv_id"""
+
+
+@query(REPAIR_SQL)
+def op12_repair(spark, sf_dir):
+    given = table(spark, sf_dir, "conversations")
+    pieces = conversations.repair(spark, conversations.damage(given), given)
+    return pieces.where("last").drop("piece", "last", "rows")
+
+
 #: Host, path and verdict of the listed rules.
 URL_RULES = [
     ("com", "/", "allow"),
