@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.llm.common import null_id, whole_id, written
@@ -199,14 +199,17 @@ def cut_spans(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes,
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
 
 
+def row_key() -> list[Column]:
+    """What a row of docs(doc_id, text) is known by: 96 bits of two unlike hashes."""
+    return [F.xxhash64(whole_id(F.col("doc_id")), F.col("text")).alias("row"), F.hash("text").alias("two")]
+
+
 def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, two, at, n): in the row of that id and text hash, the n strings from byte at repeat.
+    """(row, two, at, n): in the rows of that key, see row_key(), the n strings from byte at repeat.
 
-    doc_id is whole_id(), two the hash() of the text. See remove_repeats().
+    See remove_repeats().
     """
-    texts = docs.where(F.octet_length("text") >= length).select(
-        whole_id(F.col("doc_id")).alias("doc_id"), F.hash("text").alias("two"), "text"
-    )
+    texts = docs.where(F.octet_length("text") >= length).select(*row_key(), "text")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -218,7 +221,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
                 row = first + text
                 yield pd.DataFrame(
                     {
-                        "doc_id": f["doc_id"].to_numpy()[row],
+                        "row": f["row"].to_numpy()[row],
                         "two": f["two"].to_numpy()[row],
                         "at": (start - bounds[text]).astype(np.int32),
                         "n": n.astype(np.int32),
@@ -227,53 +230,53 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
                     }
                 )
 
-    row = ["doc_id", "two", "at", "n"]
-    schema = "doc_id long, two int, at int, n int, anchor long, whole long"
+    names = ["row", "two", "at", "n"]
+    schema = "row long, two int, at int, n int, anchor long, whole long"
     pieces = written(spark, texts.mapInPandas(cut, schema), "segments")
     often = pieces.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
     pieces = written(spark, pieces.join(often.hint("rebalance"), "anchor", "left_semi"), "segments")
     # One row stands for all equal segments; its columns are of one row.
     kinds = pieces.groupBy("anchor", "whole").agg(
-        F.count("*").alias("times"), *(F.first(c).alias(c) for c in row)
+        F.count("*").alias("times"), *(F.first(c).alias(c) for c in names)
     )
     kinds = written(spark, kinds, "kinds")
     twice = kinds.where("times > 1").select("anchor", "whole").hint("rebalance")
-    same = pieces.join(twice, ["anchor", "whole"], "left_semi").select(*row)
+    same = pieces.join(twice, ["anchor", "whole"], "left_semi").select(*names)
 
     varied = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").hint("rebalance")
     deal = F.pmod(F.col("whole"), F.ceil(F.col("kinds") / SHARD)).cast("int")
     chosen = kinds.join(varied, "anchor").withColumn("block", F.when(F.col("kinds") > SHARD, deal).otherwise(-1))
-    chosen = written(spark, chosen.select(*row, "anchor", "times", "block"), "chosen")
+    chosen = written(spark, chosen.select(*names, "anchor", "times", "block"), "chosen")
     shards = max(1, chosen.count() // SHARD)
-    cuts = chosen.groupBy("doc_id", "two").agg(F.collect_list(F.struct("at", "n", "anchor", "times", "block")).alias("cuts"))
-    held = cuts.join(texts.withColumnsRenamed({"doc_id": "d", "two": "t"}), (F.col("doc_id") == F.col("d")) & (F.col("two") == F.col("t")))
+    cuts = chosen.groupBy("row", "two").agg(F.collect_list(F.struct("at", "n", "anchor", "times", "block")).alias("cuts"))
+    held = cuts.join(texts.withColumnsRenamed({"row": "r", "two": "t"}), (F.col("row") == F.col("r")) & (F.col("two") == F.col("t")))
 
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for doc_id, two, cuts, text in zip(f["doc_id"], f["two"], f["cuts"], f["text"], strict=True):
+            for row_, two, cuts, text in zip(f["row"], f["two"], f["cuts"], f["text"], strict=True):
                 raw = text.encode("utf-8", "replace")
                 for c in cuts:
                     part = raw[c["at"] : c["at"] + c["n"] + length - 1]
-                    out.append((doc_id, two, c["at"], c["anchor"], c["times"], c["block"], part))
-            yield pd.DataFrame(out, columns=["doc_id", "two", "at", "anchor", "times", "block", "part"])
+                    out.append((row_, two, c["at"], c["anchor"], c["times"], c["block"], part))
+            yield pd.DataFrame(out, columns=["row", "two", "at", "anchor", "times", "block", "part"])
 
-    parts = held.select("doc_id", "two", "cuts", "text").mapInPandas(
-        extract, "doc_id long, two int, at int, anchor long, times long, block int, part binary"
+    parts = held.select("row", "two", "cuts", "text").mapInPandas(
+        extract, "row long, two int, at int, anchor long, times long, block int, part binary"
     )
     # Repeated rows bring the same segment again; it stands for one place all the same.
     alone = F.pmod(F.hash("anchor"), F.lit(shards))
     parts = parts.withColumn("shard", F.when(F.col("block") < 0, alone).otherwise(F.col("anchor")))
 
     def search(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.drop_duplicates(["doc_id", "two", "at"]).reset_index(drop=True)
+        f = f.drop_duplicates(["row", "two", "at"]).reset_index(drop=True)
         parts = f["part"].tolist()
         part, start, first, repeated = repeats_in_shard(parts, length)
         once = f["times"].to_numpy() == 1
         hit = repeated & once[part]
         p, s, n = _runs(part[hit], start[hit])
         found = pd.DataFrame(
-            {"doc_id": f["doc_id"].to_numpy()[p], "two": f["two"].to_numpy()[p], "at": f["at"].to_numpy()[p] + s, "n": n, "one": None, "other": None, "open": False}
+            {"row": f["row"].to_numpy()[p], "two": f["two"].to_numpy()[p], "at": f["at"].to_numpy()[p] + s, "n": n, "one": None, "other": None, "open": False}
         )
         dealt = f["block"].to_numpy() >= 0
         hand = (dealt[part] & first).nonzero()[0]
@@ -283,7 +286,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             more = pd.DataFrame(
                 {
-                    "doc_id": f["doc_id"].to_numpy()[p],
+                    "row": f["row"].to_numpy()[p],
                     "two": f["two"].to_numpy()[p],
                     "at": f["at"].to_numpy()[p] + s,
                     "n": 1,
@@ -296,7 +299,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
         return found.astype({"one": "Int64", "other": "Int64"})
 
     sought = parts.groupBy("shard", "block").applyInPandas(
-        search, "doc_id long, two int, at int, n int, one long, other long, open boolean"
+        search, "row long, two int, at int, n int, one long, other long, open boolean"
     )
     sought = written(spark, sought, "sought")
     handed = sought.where("one is not null")
@@ -306,12 +309,12 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
         digests = np.sort(_joined(f))
         own = _joined(f[f["open"]])
         n = np.searchsorted(digests, own, side="right") - np.searchsorted(digests, own, side="left")
-        return f.loc[f["open"], row][n > 1]
+        return f.loc[f["open"], names][n > 1]
 
     merged = handed.groupBy(F.pmod(F.col("one"), F.lit(buckets))).applyInPandas(
-        merge, "doc_id long, two int, at int, n int"
+        merge, "row long, two int, at int, n int"
     )
-    return same.unionByName(sought.where("one is null").select(*row)).unionByName(merged)
+    return same.unionByName(sought.where("one is null").select(*names)).unionByName(merged)
 
 
 def _joined(f: pd.DataFrame) -> np.ndarray:
@@ -327,17 +330,18 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -
     A byte goes if a string of `length` bytes that covers it also starts anywhere else, in
     the same text or another row's. Texts are UTF-8 bytes, null counts as empty; kept, what
     is left, is binary, since a cut may fall inside a character. n_spans counts maximal
-    removed runs. Repeated rows repeat each other. Rows are known by doc_id and a hash of
-    the text, so null and repeated doc_ids do no harm. No rows give no rows; extra columns
-    are not looked at.
+    removed runs. Repeated rows repeat each other. Rows are known by 96 bits of hashes of doc_id
+    and text, so null and repeated doc_ids do no harm. No rows give no rows; extra columns
+    are not looked at. A text of any length is worked on whole by one task, which takes some
+    80 bytes for each of its.
     """
     spans = repeated_spans(spark, docs, length).distinct()
-    spans = spans.groupBy("doc_id", "two").agg(
+    spans = spans.groupBy("row", "two").agg(
         F.collect_list("at").alias("at"), F.collect_list("n").alias("n")
     )
-    spans = written(spark, spans.withColumnsRenamed({"doc_id": "d", "two": "t"}), "spans")
-    rows = docs.select(whole_id(F.col("doc_id")).alias("doc_id"), F.hash("text").alias("two"), "text")
-    rows = rows.join(spans, (F.col("doc_id") == F.col("d")) & (F.col("two") == F.col("t")), "left")
+    spans = written(spark, spans.withColumnsRenamed({"row": "r", "two": "t"}), "spans")
+    rows = docs.select(whole_id(F.col("doc_id")).alias("doc_id"), *row_key(), "text")
+    rows = rows.join(spans, (F.col("row") == F.col("r")) & (F.col("two") == F.col("t")), "left")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
