@@ -68,7 +68,7 @@ def cut_batch(texts: list[bytes], bits: int = BITS, least: int = LEAST, most: in
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, two, place, size, one, other) of each chunk of docs(doc_id, two, text)."""
+    """(doc_id, two, three, place, size, one, other) of each chunk of docs(doc_id, two, three, text)."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -84,6 +84,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                     {
                         "doc_id": f["doc_id"].to_numpy()[at:end].repeat(n),
                         "two": f["two"].to_numpy()[at:end].repeat(n),
+                        "three": f["three"].to_numpy()[at:end].repeat(n),
                         "place": np.concatenate([np.arange(x, dtype=np.int32) for x in n]),
                         "size": np.concatenate([np.diff([0, *e]).astype(np.int32) for e in ends]),
                         "one": halves[:, 0],
@@ -91,7 +92,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                     }
                 )
 
-    return docs.where("text <> ''").mapInPandas(cut, "doc_id long, two int, place int, size int, one long, other long")
+    return docs.where("text <> ''").mapInPandas(cut, "doc_id long, two long, three int, place int, size int, one long, other long")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -105,7 +106,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     lose nothing to each other; rows without a doc_id lose to any that has one, and not to
     each other. No rows give no rows; extra columns are not looked at.
     """
-    rows = docs.select(whole_id(F.col("doc_id")).alias("doc_id"), F.hash("text").alias("two"), "text")
+    rows = docs.select(whole_id(F.col("doc_id")).alias("doc_id"), F.xxhash64("text").alias("two"), F.hash("text").alias("three"), "text")
+    row = ["doc_id", "two", "three"]
     pieces = written(spark, chunks(rows), "chunks")
     owner = pieces.groupBy("one", "other").agg(
         F.count("*").alias("times"),
@@ -113,11 +115,12 @@ def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
     owner = owner.where("times > 1").select("one", "other", "owner").hint("rebalance")
     later = F.coalesce(F.col("owner") != F.col("doc_id"), F.lit(False)).alias("later")
-    hits = pieces.join(owner, ["one", "other"]).select("doc_id", "two", "place", "one", "other", later)
-    hits = hits.groupBy("doc_id", "two", "place", "one", "other", "later").agg(F.lit(1).alias("x"))
-    hits = hits.groupBy("doc_id", "two").agg(F.sort_array(F.collect_list(F.struct("place", "one", "other", "later"))).alias("hits"))
-    hits = written(spark, hits.withColumnsRenamed({"doc_id": "d", "two": "t"}), "hits")
-    found = rows.join(hits.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("two") == F.col("t")), "left")
+    hits = pieces.join(owner, ["one", "other"]).select(*row, "place", "one", "other", later)
+    hits = hits.groupBy(*row, "place", "one", "other", "later").agg(F.lit(1).alias("x"))
+    hits = hits.groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("place", "one", "other", "later"))).alias("hits"))
+    hits = written(spark, hits.withColumnsRenamed({"doc_id": "d", "two": "t", "three": "u"}), "hits")
+    same = (F.col("doc_id") == F.col("d")) & (F.col("two") == F.col("t")) & (F.col("three") == F.col("u"))
+    found = rows.join(hits.hint("merge"), same, "left")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

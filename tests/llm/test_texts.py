@@ -301,3 +301,17 @@ def test_pipeline_stages(spark):
     assert len(ids) == kept.count() and 0.8 * docs.count() < len(ids) < docs.count()
     pieces = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} <= ids
+
+
+def test_rows_without_ids_whose_text_hashes_clash(spark):
+    """Texts of one 32-bit hash and no doc_id are rows of their own."""
+    text = "array_join(transform(sequence(0, 10 + id % 7), i -> md5(concat(id, '-', i))), ' ')"
+    clashes = spark.range(200_000).selectExpr(f"{text} as text").groupBy(F.hash("text")).agg(F.collect_list("text").alias("texts"))
+    found = clashes.where("size(array_distinct(transform(texts, t -> length(t)))) > 1").select("texts").first()
+    a, b = found.texts[:2]
+    assert len(a) != len(b)
+    docs = spark.createDataFrame([(None, a), (None, b), (1, b)], "doc_id long, text string")
+    rows = {(r.doc_id, r.n_bytes): (r.n_removed, bytes(r.kept)) for r in suffixes.remove_repeats(spark, docs).collect()}
+    assert rows == {(None, len(a)): (0, a.encode()), (None, len(b)): (len(b), b""), (1, len(b)): (len(b), b"")}
+    rows = {(r.doc_id, r.n_bytes): (r.n_repeated, bytes(r.kept)) for r in chunks.deduplicate(spark, docs).collect()}
+    assert rows == {(None, len(a)): (0, a.encode()), (None, len(b)): (len(b), b""), (1, len(b)): (len(b), b.encode())}
