@@ -16,12 +16,12 @@ members, so no group grows with the input, however many copies there are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.llm.common import components, null_id, whole_id, written
@@ -50,15 +50,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of each row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, more: Sequence[Column] = ()) -> DataFrame:
+    """(doc_id, fp) of each row, and more columns of type long that are not null."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "fp": [fingerprint(t, shingle) for t in f["text"]]})
+            yield f.drop(columns="text").assign(fp=[fingerprint(t, shingle) for t in f["text"]])
 
-    rows = docs.select(whole_id(F.col("doc_id")).alias("doc_id"), "text").mapInPandas(each, "doc_id long, fp long")
-    return rows.withColumn("doc_id", null_id(F.col("doc_id")))
+    rows = docs.select(whole_id(F.col("doc_id")).alias("doc_id"), *more, "text")
+    schema = ", ".join(f"{c} long" for c in rows.columns if c != "text")
+    return rows.mapInPandas(each, f"{schema}, fp long").withColumn("doc_id", null_id(F.col("doc_id")))
 
 
 class Golay:
@@ -146,30 +147,49 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     connects them; component_id is the smallest doc_id among them. Null or wordless texts
     have fingerprint 0 and are linked like any other. Rows without a doc_id take part, but
     give no component_id of their own. Repeated rows are returned as often as they come;
-    no rows give no rows; other columns are not looked at.
+    no rows give no rows; other columns are not looked at. A text of any length is read whole.
     """
     rows = written(spark, fingerprints(docs, shingle), "fingerprints")
+    return rows.join(_groups(spark, rows), "fp").select("doc_id", "fp", "component_id")
+
+
+def _groups(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """(fp, component_id, root) of each fingerprint of rows(doc_id, fp); root names its group."""
     classes = written(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     roots = components(spark, links(spark, classes)).withColumnRenamed("node", "fp")
     placed = classes.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = written(spark, placed.join(ids, "root").select("fp", "component_id"), "components")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return written(spark, placed.join(ids, "root").select("fp", "component_id", "root"), "components")
 
 
 def first_of_each(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs, one for each group of near duplicates: that of its smallest doc_id.
+    """The rows of docs, one for each group of near duplicates, with all columns.
 
-    Of rows with one doc_id, one stays. Rows without a doc_id can't be named
-    as another's copy and stay. All columns are kept.
+    It is the row of the smallest doc_id, a null one last; of several texts under that id the
+    one of the smallest hash; of rows equal in doc_id and text any one. So each text that goes
+    has a near duplicate that stays, whatever ids are null or repeated. Null and empty texts
+    are near duplicates of each other. No rows give no rows.
     """
-    found = near_duplicates(spark, docs, shingle).where("doc_id is not null")
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("least"))
-    ids = written(spark, ids.where("least = doc_id").select("doc_id", "n"), "kept")
-    # The hint: one plan at every size, in which a hot id is split like any skewed join key.
-    once = docs.join(ids.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
-    kept = once.unionByName(docs.where("doc_id is null"))
-    more = ids.where("n > 1").select("doc_id")
-    if not more.isEmpty():
-        kept = kept.unionByName(docs.join(more, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    # 128 bits of a text, beside the fingerprint of the same row.
+    hashes = [F.xxhash64("text").alias("one"), F.xxhash64(F.lit(1), "text").alias("two")]
+    names = ["doc_id", "one", "two"]
+    rows = written(spark, fingerprints(docs, shingle, hashes), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), *names, "fp")).alias("row")
+    placed = rows.join(_groups(spark, rows).select("fp", "root"), "fp").groupBy("root").agg(least)
+    least = placed.select(*(F.col(f"row.{c}").alias(c) for c in names)).alias("least")
+    times = rows.groupBy(*names).agg(F.count("*").alias("n")).alias("times")
+    same = [F.col(f"times.{c}").eqNullSafe(F.col(f"least.{c}")) for c in names]
+    kept = written(spark, times.join(least, same, "left_semi"), "kept")
+    text = F.col("docs.text")
+    here = [F.col("docs.doc_id").cast("long"), F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+    def chosen(of: DataFrame) -> DataFrame:
+        # The hint: one plan at every size, in which a hot key is split like any skewed one.
+        same = [x.eqNullSafe(F.col(f"kept.{c}")) for x, c in zip(here, names, strict=True)]
+        return docs.alias("docs").join(of.alias("kept").hint("merge"), same, "left_semi")
+
+    out = chosen(kept.where("n = 1"))
+    repeated = kept.where("n > 1")
+    if not repeated.isEmpty():
+        out = out.unionByName(chosen(repeated).dropDuplicates(["doc_id", "text"]))
+    return out

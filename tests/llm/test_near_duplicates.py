@@ -76,10 +76,21 @@ def test_simhash_odd_rows(spark):
     rows = simhash.near_duplicates(spark, docs).collect()
     assert sorted((r.doc_id or 0, r.component_id) for r in rows) == [(0, 3), (3, 3), (5, 3), (7, 7), (7, 7), (9, 7)]
     kept = simhash.first_of_each(spark, docs)
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 3, 7]
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [3, 7]
     assert simhash.near_duplicates(spark, docs.limit(0)).count() == 0
 
 
+def test_each_text_keeps_a_near_duplicate(spark):
+    """Repeated and null ids: one row of each group stays, whatever its texts' other ids are."""
+    x, y, z = ("one two three four", "five six seven eight nine", "ten eleven twelve")
+    docs = [(5, x), (7, x), (5, y), (3, y), (None, z), (None, z), (None, x), (9, None), (None, ""), (4, "a b"), (4, "a b")]
+    frame = spark.createDataFrame([(*d, "n", 1) for d in docs], "doc_id long, text string, n string, kept int")
+    kept = simhash.first_of_each(spark, frame)
+    assert kept.columns == frame.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == [(3, y), (4, "a b"), (5, x), (9, None), (None, z)]
+    assert simhash.first_of_each(spark, frame.limit(0)).count() == 0
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))]
