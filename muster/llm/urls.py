@@ -142,7 +142,7 @@ def judge(
     extra columns are not looked at.
 
     The page's columns are read twice, for judged urls and for others. Urls of equal tokens
-    are one basket; only baskets meet the index. Baskets join back without a hint: Spark
+    are one basket; only baskets meet the index. Verdicts join back to the pages: Spark
     broadcasts them below its size threshold, and splits a hot basket beyond it.
     """
     read = pages.select("page_id", "url").select(
@@ -156,7 +156,7 @@ def judge(
     mined = mine(spark, read.where("rule is not null").select("tokens", "verdict"), min_support, min_confidence)
     rest = read.where("rule is null").withColumn("basket", F.coalesce(F.array_join("tokens", SEP), F.lit("")))
     baskets = rest.groupBy("basket").agg(F.first("tokens").alias("tokens"))
-    found = held_rules(baskets, mined)
+    found = held_rules(baskets, mined).hint("rebalance")  # so that the join may split a hot basket
     rest = rest.drop("verdict").join(found, "basket", "left")
     columns = ["page_id", "host", "path", "rule", "verdict"]
     rest = rest.withColumn("verdict", F.coalesce("verdict", F.lit(DEFAULT)))
