@@ -17,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from muster.functions import conditions as conds  # noqa: E402
 from muster.functions.labels import entries  # noqa: E402
-from muster.operators import changes, estimate, ownership, replicas, rules, words  # noqa: E402
+from muster.operators import changes, claims, estimate, ownership, replicas, rules, words  # noqa: E402
 from muster.operators.lifecycle import lifecycles  # noqa: E402
 from muster.operators.settings import layered_settings, spec_settings  # noqa: E402
 from muster.operators.timeline import condition_lists, condition_rows  # noqa: E402
@@ -230,6 +230,83 @@ def claim_classification(spark, sf_dir):
     return claims.select("o_orderkey", "uid", "action")
 
 
+# Sixty owners to a namespace, whose selectors ask for up to three labels: one takes all of its
+# namespace, and one has no selector. A third of the objects are orphans.
+CLAIM_SQL = """
+    with objects as (
+        select o_orderkey, o_custkey // 60 as ns,
+            case when o_orderkey % 3 = 0 then null when o_orderkey % 7 = 0 then -1 else o_custkey end as ref_uid,
+            o_orderstatus = 'P' as terminating,
+            ['status=' || o_orderstatus, 'priority=' || o_orderpriority, 'shard=' || o_orderkey % 50] as labels
+        from orders),
+    owners as (
+        select c_custkey as uid, c_custkey // 60 as ns, c_acctbal < 0 as deleting,
+            ['status=' || ['F', 'O', 'P'][c_custkey % 3 + 1], 'priority=1-URGENT', 'shard=' || c_custkey % 50] as pairs,
+            case c_custkey % 60 when 3 then [] when 4 then null
+                else list_filter(pairs, lambda x, i: (c_custkey // (1 << (i - 1))) % 2 = 1 or i = 3) end as selector
+        from customer),
+    pairs as (
+        select o_orderkey, ref_uid, uid, deleting, terminating,
+            coalesce(list_has_all(labels, selector), false) as is_match
+        from objects join owners using (ns)
+        where is_match or coalesce(ref_uid = uid, false)),
+    claims as (
+        select o_orderkey, uid, case
+            when ref_uid <> uid then 'ignored_foreign'
+            when ref_uid is not null and is_match then 'owned'
+            when ref_uid is not null and deleting then 'ignored_deleting'
+            when ref_uid is not null then 'release'
+            when deleting or not is_match then 'ignored'
+            when terminating then 'ignored_terminating'
+            else 'adopt' end as action
+        from pairs)"""
+
+
+def _claim_tables(spark, sf_dir):
+    def labels(status, priority, shard):
+        pairs = {"status": status, "priority": priority, "shard": shard.cast("string")}
+        return F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)])
+
+    key, owner = F.col("o_orderkey"), F.col("c_custkey")
+    ref = F.when(key % 3 == 0, None).when(key % 7 == 0, -1).otherwise(F.col("o_custkey"))
+    objects = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.floor(F.col("o_custkey") / 60).alias("ns"),
+        ref.alias("ref_uid"),
+        labels(F.col("o_orderstatus"), F.col("o_orderpriority"), key % 50).alias("labels"),
+        (F.col("o_orderstatus") == "P").alias("terminating"),
+    )
+    status = F.when(owner % 3 == 0, "F").when(owner % 3 == 1, "O").otherwise("P")
+    wanted = F.map_filter(
+        labels(status, F.lit("1-URGENT"), owner % 50),
+        lambda k, _: (k == "shard") | ((k == "status") & (owner % 2 == 1)) | ((k == "priority") & (F.floor(owner / 2) % 2 == 1)),
+    )
+    selector = F.when(owner % 60 == 3, F.map_filter(wanted, lambda k, _: F.lit(False))).when(owner % 60 != 4, wanted)
+    owners = table(spark, sf_dir, "customer").select(
+        owner.alias("uid"), F.floor(owner / 60).alias("ns"), (F.col("c_acctbal") < 0).alias("deleting"), selector.alias("selector")
+    )
+    return objects, owners
+
+
+@query(f"{CLAIM_SQL} select * from claims")
+def candidate_claims(spark, sf_dir):
+    """Each owner whose selector takes an object, and its controller."""
+    found = claims.candidate_claims(*_claim_tables(spark, sf_dir), ["ns"], ["o_orderkey"])
+    return found.select("object.o_orderkey", "owner.uid", "action")
+
+
+@query(f"""
+    {CLAIM_SQL}
+    select o_orderkey, count(c.uid) as candidates, min(c.uid) as adopter
+    from objects left join (select * from claims where action = 'adopt') c using (o_orderkey)
+    where ref_uid is null group by o_orderkey""")
+def orphan_adopters(spark, sf_dir):
+    """Orphans that no owner, one or several would adopt."""
+    objects, owners = _claim_tables(spark, sf_dir)
+    found = claims.candidate_claims(objects, owners, ["ns"], ["o_orderkey"])
+    return claims.adopters(found, objects, ["o_orderkey"])
+
+
 @query("""
     select c_custkey,
            case when c_mktsegment = 'BUILDING' then 'nation=marked,segment=BUILDING,state=deleting'
