@@ -29,7 +29,7 @@ def fleet(seed, n_objects=120, n_owners=40):
          rng.random() < 0.2, "clash")
         for i in range(n_owners)
     ]
-    owners[1] = ("n", "u1", {"a": "x"}, False, "clash")
+    owners[1] = ("n", "u1", {"hot": "1"}, False, "clash")
     owners += [("k", f"k{i}", {"hot": "1"} if i % 2 else {}, i == 3, "clash") for i in range(4)]
     return objects, owners
 
