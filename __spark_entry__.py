@@ -575,7 +575,7 @@ def condition_timeline_sliced(spark, sf_dir):
 def _event_stream(spark, sf_dir):
     """Events as a stream, on a session of its own with the RocksDB state store."""
     session = spark.newSession()
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", feeds.ROCKSDB)
     session.conf.set("spark.sql.session.timeZone", "UTC")
     # State partitions are fixed at the first start: one per core of the cluster.
     cores = spark.sparkContext.defaultParallelism
@@ -588,18 +588,12 @@ def _event_stream(spark, sf_dir):
 
 @query(TIMELINE_SQL)
 def condition_stream(spark, sf_dir):
-    """The same from a stream with state per object; the last list of each object."""
-    summaries, target = (shared_folder(spark, x) for x in ("summaries", "conditions"))
-    checkpoints = [shared_folder(spark, "checkpoint") for _ in range(2)]
+    """The same from a stream that keeps a row per object; its state after the last batch."""
+    path, checkpoint = shared_folder(spark, "conditions"), shared_folder(spark, "checkpoint")
     reports = _reports(_event_stream(spark, sf_dir))
-    streams.write_report_summaries(
-        reports, ["user_id"], ["ts", "event_id"], summaries, checkpoints[0]
-    ).awaitTermination()
-    arriving = streams.read_report_summaries(reports.sparkSession, summaries, "user_id BIGINT")
-    lists = streams.stream_condition_lists(arriving, ["user_id"])
-    feeds.write_batches(lists, target, checkpoints[1]).awaitTermination()
-    history = feeds.read_batches(reports.sparkSession, target, lists.schema)
-    rows = condition_rows(streams.latest_lists(history, ["user_id"]), ["user_id"])
+    streams.maintain_conditions(reports, ["user_id"], ["ts", "event_id"], path, checkpoint).awaitTermination()
+    lists = streams.current_conditions(reports.sparkSession, path, ["user_id"])
+    rows = condition_rows(lists, ["user_id"])
     plain = {c: F.col(c).cast("timestamp_ntz") for c in ("last_update", "last_transition")}
     return rows.drop("message").withColumns(plain)
 

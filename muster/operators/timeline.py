@@ -28,6 +28,8 @@ def report_summaries(
     ``updated`` (time) of that report, and ``since``, when the type last became True. For
     logs that may be ``continued`` from others, ``only_first`` and ``from_first`` say that
     the report, or that moment, is the first of the log: these depend on what came before.
+    Then entries also hold the place ``at`` (a struct of ``order``) of the report, and each
+    row the places ``first`` and ``last`` of all its reports, void ones too.
 
     Exactly one type is True at any time, that of the preceding report, so comparing each
     report with its predecessor is enough, and the rest are maxima per type: one shuffle of
@@ -51,12 +53,14 @@ def report_summaries(
             "_report": F.struct(*order, F.col(reason).alias("_reason"), text.alias("_text")),
             "_start": F.when(~was_type, start),
         }
-    ).where(~was_same)
+    )
+    # A continued log's places are those of void reports, too.
+    log = log.withColumn("_type", F.when(~was_same, F.col("_type"))) if continued else log.where(~was_same)
 
     def of(kind: str, column: str) -> Column:
         return F.max(F.when(F.col("_type") == kind, F.col(column)))
 
-    first = [F.min("_at").alias("_first")] if continued else []
+    first = [F.min("_at").alias("_first"), F.max("_at").alias("_last")] if continued else []
     state = log.groupBy(*keys).agg(
         *first,
         *[of(k, "_report").alias(f"_report_{i}") for i, k in enumerate(types)],
@@ -74,7 +78,7 @@ def report_summaries(
             "since": f"{start}.`{time}`" if continued else start,
         }
         if continued:
-            fields |= {"only_first": f"{at} = _first", "from_first": f"{start} = _first"}
+            fields |= {"only_first": f"{at} = _first", "from_first": f"{start} = _first", "at": at}
         pairs = ", ".join(f"'{name}', {value}" for name, value in fields.items())
         return F.expr(
             f"CASE WHEN {report} IS NOT NULL "
@@ -82,7 +86,8 @@ def report_summaries(
         )
 
     present = F.array_sort(F.array_compact(F.array(*[entry(i, k) for i, k in enumerate(types)])))
-    return state.select(*keys, F.transform(present, lambda e: e["entry"]).alias("entries"))
+    places = [F.col("_first").alias("first"), F.col("_last").alias("last")] if continued else []
+    return state.select(*keys, *places, F.transform(present, lambda e: e["entry"]).alias("entries"))
 
 
 def condition_lists(
@@ -107,6 +112,16 @@ def condition_lists(
     found = report_summaries(
         reports, keys, order, types, type_, reason, message, min_rows=min_rows
     )
+    return listed(found, keys, reconfiguring, running)
+
+
+def listed(
+    found: DataFrame,
+    keys: Sequence[str],
+    reconfiguring: str | None = "Reconfiguring",
+    running: str = "Running",
+) -> DataFrame:
+    """``(*keys, conditions)`` from the entries of :func:`report_summaries`."""
     kinds = F.transform("entries", lambda e: e["type"])
     removed = F.lit(False)
     if reconfiguring is not None:

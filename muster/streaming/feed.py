@@ -10,6 +10,9 @@ from pyspark.sql.types import StructType
 
 from muster.operators.changes import owners_to_revisit
 
+#: State store for the streams that Spark keeps state of.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def read_feed(
     spark: SparkSession,
@@ -55,11 +58,21 @@ def write_batches(
         rows = transform(batch) if transform else batch
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
+    return for_each_batch(stream, checkpoint, write, mode)
+
+
+def for_each_batch(
+    stream: DataFrame,
+    checkpoint: str,
+    function: Callable[[DataFrame, int], None],
+    mode: str = "append",
+) -> StreamingQuery:
+    """Starts a query that works off what is there, a micro-batch and its number at a time."""
     return (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(write)
+        .foreachBatch(function)
         .start()
     )
 

@@ -1,37 +1,53 @@
-"""Condition lists kept up to date from a stream of reports.
-
-Two hops, so that an object with very many reports never meets in one task. The first is
-stateless: it reduces each micro-batch of reports to one summary per object with the batch
-operator, which slices hot logs. The second keeps one state row per object and merges the
-summaries into it: a handful of rows per object and batch.
+"""Condition lists kept up to date from a stream of reports that come in any order.
+
+Each micro-batch is reduced to one summary per object by the batch operator, which slices hot
+logs, and merged into a table of one row per object by built-in functions. That is right
+only where all of an object's earlier reports came before the batch's; so state and
+summaries hold the places of their last and first report, void ones too, and objects with
+a report that came late are folded anew from the log of their reports, which the stream
+writes as it reads. The lists are thus those of the batch operator, however the reports
+are cut into batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from typing import TYPE_CHECKING
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from muster.functions.conditions import CLUSTER_TYPES
-from muster.operators.timeline import report_summaries
+from muster.operators.timeline import listed, report_summaries
 from muster.plans.slices import MIN_ROWS
-from muster.streaming.feed import write_batches
+from muster.sources import files
+from muster.streaming.feed import for_each_batch
+from muster.streaming.keyed import BUCKET, KeyedTable
+
+
+def _table(path: str, keys: Sequence[str], buckets: int = 16, every: int = 16) -> KeyedTable:
+    return KeyedTable(f"{path}/state", tuple(keys), buckets, every)
 
-if TYPE_CHECKING:
-    import pandas as pd
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+def continued_entries(old: Column, new: Column) -> Column:
+    """Entries of a log from those of its parts, every report of ``old`` being before ``new``.
 
-_SUMMARY = (
-    "rank INT, type STRING, reason STRING, message STRING, updated BIGINT, since BIGINT, "
-    "only_first BOOLEAN, from_first BOOLEAN"
-)
+    Of the new part only its first report depends on the old one: it is void if the type that
+    was True last comes again with the same reason, and starts nothing if the type comes
+    again at all. What follows is as the new part has it.
+    """
+    current = F.try_element_at(old, F.lit(-1))
+    again = lambda e: F.coalesce(current["type"] == e["type"], F.lit(False))
+    void = lambda e: e["only_first"] & again(e) & current["reason"].eqNullSafe(e["reason"])
+    taken = F.transform(
+        F.filter(new, lambda e: ~void(e)),
+        lambda e: e.withField("since", F.when(e["from_first"] & again(e), current["since"]).otherwise(e["since"])),
+    )
+    kept = F.filter(old, lambda o: ~F.exists(taken, lambda e: e["type"] == o["type"]))
+    return F.concat(kept, taken)
 
 
-def write_report_summaries(
+def maintain_conditions(
     reports: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
@@ -42,161 +58,82 @@ def write_report_summaries(
     reason: str = "reason",
     message: str | None = None,
     min_rows: int = MIN_ROWS,
+    buckets: int = 16,
+    every: int = 16,
 ) -> StreamingQuery:
-    """First hop: per micro-batch and object, the entries of
-    :func:`muster.operators.timeline.report_summaries`, written under ``path/batch=<id>``.
+    """Starts a query that works off what is there and keeps the state of
+    :func:`current_conditions` under ``path``.
 
-    Within a micro-batch reports are put in ``order`` (a TIMESTAMP column and a unique id);
-    micro-batches count in arrival order, which has to be the order of time for each object:
-    the second hop stops with an error at a report older than one of an earlier batch.
+    ``order`` is a TIMESTAMP and an id, unique within an object; a report that comes twice
+    counts once. Reports may come in any order: a late one costs a new fold of its object's
+    log, read from the buckets of such objects only. One row per object is state; every
+    report is kept in the log.
     """
+    table, log = _table(path, keys, buckets, every), f"{path}/log"
+    columns = list(dict.fromkeys([*keys, *order, type_, reason, *([message] if message else [])]))
 
-    def summarize(batch: DataFrame) -> DataFrame:
-        found = report_summaries(
-            batch, keys, order, types, type_, reason, message, continued=True, min_rows=min_rows
+    def summaries(rows: DataFrame) -> DataFrame:
+        return report_summaries(
+            rows, keys, order, types, type_, reason, message, continued=True, min_rows=min_rows
         )
-        rows = found.select(*keys, F.posexplode("entries").alias("rank", "_entry"))
-        micros = {c: F.unix_micros(f"_entry.{c}").alias(c) for c in ("updated", "since")}
-        plain = ("type", "reason", "message")
-        flags = ("only_first", "from_first")
-        return rows.select(
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark, work = batch.sparkSession, f"{path}/work-{number}"
+        rows = batch.select(*columns).withColumn(BUCKET, table.bucket())
+        rows.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{log}/batch={number}")
+        rows = spark.read.schema(rows.schema).parquet(f"{log}/batch={number}")
+        touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]
+        state = table.read(spark, number, touched)
+        fresh = summaries(rows.drop(BUCKET))
+        if state is None:
+            table.write(fresh.drop("first"), number)
+            return
+        state = state.select(*[F.col(c).alias(f"_{c}") for c in state.columns])
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        met = fresh.join(state, same, "left").select(
             *keys,
-            "rank",
-            *[f"_entry.{c}" for c in plain],
-            *micros.values(),
-            *[f"_entry.{c}" for c in flags],
+            "last",
+            F.when(F.col("_last").isNull(), F.col("entries"))
+            .otherwise(continued_entries(F.col("_entries"), F.col("entries")))
+            .alias("entries"),
+            F.coalesce(F.col("first") <= F.col("_last"), F.lit(False)).alias("_late"),
         )
-
-    return write_batches(reports, path, checkpoint, summarize, mode="append")
-
-
-def read_report_summaries(
-    spark: SparkSession, path: str, key_schema: str, files_per_batch: int | None = None
-) -> DataFrame:
-    """What the first hop writes, as a stream. ``key_schema`` is the DDL of the keys."""
-    reader = spark.readStream.schema(f"{key_schema}, {_SUMMARY}, batch BIGINT")
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
-
-
-def _processor(
-    key_names: Sequence[str],
-    types: Sequence[str],
-    reconfiguring: str | None,
-    running: str,
-) -> StatefulProcessor:
-    """Built in a function so that it travels to the workers by value."""
-    names, kinds = list(key_names), list(types)
-    # Per type: batch and rank of its report, its time, the transition, reason, message.
-    fields = ("batch", "rank", "updated", "since", "reason", "message")
-    ddl = ("BIGINT", "INT", "BIGINT", "BIGINT", "STRING", "STRING")
-    state_schema = "batch BIGINT, " + ", ".join(
-        f"{field}{i} {kind}" for i in range(len(kinds)) for field, kind in zip(fields, ddl)
-    )
-    width = len(fields)
-
-    class ConditionProcessor(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("conditions", state_schema)
-
-        def handleInputRows(
-            self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object
-        ) -> Iterator[pd.DataFrame]:
-            import pandas as pd
-
-            stored = self.state.get() or [-1] + [None] * (width * len(kinds))
-            done = stored[0]
-            held = {
-                kind: dict(zip(fields, stored[1 + i * width : 1 + (i + 1) * width]))
-                for i, kind in enumerate(kinds)
-                if stored[1 + i * width] is not None
-            }
-
-            def place(kind: str) -> tuple:
-                return held[kind]["batch"], held[kind]["rank"]
-
-            entries = [row for chunk in rows for row in chunk.to_dict("records")]
-            entries.sort(key=lambda row: (row["batch"], row["rank"]))
-            current, batch, newest = None, None, None
-            for row in entries:
-                # A batch that was written twice counts once.
-                if row["batch"] <= done:
-                    continue
-                if row["batch"] != batch:
-                    batch = row["batch"]
-                    newest = max((h["updated"] for h in held.values()), default=None)
-                    current = max(held, key=place) if held else None
-                kind, since = row["type"], row["since"]
-                if newest is not None and min(since, row["updated"]) < newest:
-                    raise ValueError(f"batch {batch} holds a report of {key} older than an earlier batch's")
-                if current == kind:
-                    if row["only_first"] and held[kind]["reason"] == row["reason"]:
-                        continue
-                    if row["from_first"]:
-                        since = held[kind]["since"]
-                held[kind] = {field: row[field] for field in fields} | {"since": since}
-            if (
-                reconfiguring in held
-                and running in held
-                and place(reconfiguring) > place(running)
-            ):
-                del held[running]
-
-            flat = [held.get(kind, {}).get(field) for kind in kinds for field in fields]
-            self.state.update((max(done, entries[-1]["batch"]), *flat))
-
-            listed = sorted(held, key=place)
-            conditions = [
-                {
-                    "type": kind,
-                    "status": "True" if kind == listed[-1] else "False",
-                    "reason": held[kind]["reason"],
-                    "message": held[kind]["message"],
-                    "last_update": held[kind]["updated"],
-                    "last_transition": held[kind]["since"],
-                }
-                for kind in listed
-            ]
-            out = {name: [value] for name, value in zip(names, key)}
-            yield pd.DataFrame({**out, "conditions": [conditions]})
-
-        def close(self) -> None:
-            pass
-
-    return ConditionProcessor()
-
-
-def stream_condition_lists(
-    summaries: DataFrame,
+        # Written once; read to see what is late, and to write the rest.
+        met.write.mode("overwrite").parquet(f"{work}/met")
+        met = spark.read.schema(met.schema).parquet(f"{work}/met")
+        late = met.where("_late").select(*keys, table.bucket().alias(BUCKET))
+        behind = [r[0] for r in late.select(BUCKET).distinct().collect()]
+        changed = met.where("not _late").drop("_late")
+        if behind:
+            history = spark.read.schema(f"{_ddl(rows)}, batch BIGINT").parquet(log)
+            history = history.where((F.col("batch") <= number) & F.col(BUCKET).isin(*behind)).drop("batch")
+            late = late.select(*[F.col(k).alias(f"_{k}") for k in keys])
+            history = history.join(late, same, "left_semi").drop(BUCKET)
+            history.write.mode("overwrite").parquet(f"{work}/history")
+            history = spark.read.schema(history.schema).parquet(f"{work}/history")
+            changed = changed.unionByName(summaries(history).drop("first"))
+        table.write(changed, number)
+        table.compact(spark, number)
+        files.remove(spark, work)
+
+    return for_each_batch(reports, checkpoint, merge)
+
+
+def _ddl(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+
+def current_conditions(
+    spark: SparkSession,
+    path: str,
     keys: Sequence[str],
-    types: Sequence[str] = CLUSTER_TYPES,
     reconfiguring: str | None = "Reconfiguring",
     running: str = "Running",
 ) -> DataFrame:
-    """Second hop: the full condition list of every object a micro-batch touches (update
-    mode), by the rules of :func:`muster.operators.timeline.condition_lists`. State is one
-    row per object. Needs the RocksDB state store."""
-    condition = (
-        "array<struct<type:string,status:string,reason:string,message:string,"
-        "last_update:bigint,last_transition:bigint>>"
-    )
-    key_ddl = [f"`{k}` {summaries.schema[k].dataType.simpleString()}" for k in keys]
-    lists = summaries.groupBy(*keys).transformWithStateInPandas(
-        _processor(keys, types, reconfiguring, running),
-        outputStructType=", ".join([*key_ddl, f"conditions {condition}"]),
-        outputMode="Update",
-        timeMode="None",
-    )
-    timed = F.transform(
-        "conditions",
-        lambda c: c.withField("last_update", F.timestamp_micros(c["last_update"])).withField(
-            "last_transition", F.timestamp_micros(c["last_transition"])
-        ),
-    )
-    return lists.withColumn("conditions", timed)
-
-
-def latest_lists(history: DataFrame, keys: Sequence[str], batch: str = "batch") -> DataFrame:
-    """``(*keys, conditions)``: the last list per object from the lists of all batches."""
-    return history.groupBy(*keys).agg(F.max_by("conditions", batch).alias("conditions"))
+    """``(*keys, conditions)``: the list of every object reported so far, as
+    :func:`muster.operators.timeline.condition_lists` gives for all reports at once. Before the
+    first micro-batch there is no table, which is an error."""
+    state = _table(path, keys).read(spark)
+    if state is None:
+        raise ValueError(f"no batch has been written under {path}")
+    return listed(state, keys, reconfiguring, running)

@@ -20,7 +20,7 @@ def spark():
 @pytest.fixture(scope="session")
 def rocks(spark):
     """A session of the same application whose streams keep state in RocksDB."""
-    from muster.streaming.timeline import ROCKSDB
+    from muster.streaming.feed import ROCKSDB
 
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)

@@ -8,6 +8,7 @@ from folds import fold_conditions
 from muster.operators.changes import owners_to_revisit
 from muster.streaming import feed as feeds
 from muster.streaming import timeline as streams
+from muster.streaming.keyed import KeyedTable
 
 START = datetime(2024, 1, 1)
 SCHEMA = "obj bigint, ts timestamp, id bigint, type string, reason string, message string"
@@ -48,74 +49,116 @@ def folded(data):
     return {obj: fold_conditions(log) for obj, log in logs.items()}
 
 
-def run(rocks, source, work, min_rows=10):
-    """Both hops over what has arrived; three of the files per micro-batch of the second."""
-    stream = (
-        rocks.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
-    )
-    summaries = f"{work}/summaries"
-    streams.write_report_summaries(
-        stream, ["obj"], ["ts", "id"], summaries, f"{work}/c1", message="message",
-        min_rows=min_rows,
-    ).awaitTermination()
-    arriving = streams.read_report_summaries(rocks, summaries, "obj BIGINT", files_per_batch=3)
-    lists = streams.stream_condition_lists(arriving, ["obj"])
-    feeds.write_batches(lists, f"{work}/out", f"{work}/c2").awaitTermination()
-    return streams.latest_lists(
-        feeds.read_batches(rocks, f"{work}/out", lists.schema), ["obj"]
-    )
+def run(spark, source, work, min_rows=10, every=16):
+    """Keeps the lists over what has arrived, a file per micro-batch."""
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
+    streams.maintain_conditions(
+        stream, ["obj"], ["ts", "id"], work, f"{work}/checkpoint", message="message",
+        min_rows=min_rows, buckets=4, every=every,
+    ).awaitTermination()
+    return streams.current_conditions(spark, work, ["obj"])
 
 
-def as_dict(latest):
+def as_dict(lists):
     return {
         r.obj: [
             (c.type, c.status, c.reason, c.last_update, c.last_transition) for c in r.conditions
         ]
-        for r in latest.collect()
+        for r in lists.collect()
     }
 
 
-def test_batches_and_a_restart_give_the_fold(spark, rocks, tmp_path):
-    """Rows are out of order within each file; both hops are restarted halfway."""
+def arrive(spark, folder, files):
+    for i, data in enumerate(files):
+        write_file(spark, folder, i, data, SCHEMA)
+
+
+def at(obj, minute, number, kind, reason="a"):
+    return (obj, START + timedelta(minutes=minute), number, kind, reason, "m")
+
+
+LATE = {
+    # A void report is the newest: what lies before it is late all the same.
+    "void": [[at(1, 1, 1, "Running"), at(1, 5, 2, "Running")], [at(1, 3, 3, "Created")]],
+    # At one instant the smaller id comes first.
+    "tie": [[at(1, 1, 9, "Created")], [at(1, 1, 3, "Running")]],
+    "before all": [[at(1, 5, 1, "Running")], [at(1, 1, 2, "Running"), at(1, 2, 3, "Reconfiguring")]],
+    "between": [[at(1, 1, 1, "Running"), at(1, 9, 2, "Created")], [at(1, 4, 3, "Reconfiguring")], [at(1, 10, 4, "Created", "b")]],
+    "late twice": [[at(1, 9, 1, "Running")], [at(1, 5, 2, "Created")], [at(1, 3, 3, "Running")], [at(1, 11, 4, "Running")]],
+    "late and not": [[at(1, 9, 1, "Running"), at(2, 1, 1, "Created")], [at(1, 5, 2, "Running"), at(2, 2, 2, "Created")]],
+    "again": [[at(1, 1, 1, "Running"), at(1, 2, 2, "Created")], [at(1, 1, 1, "Running")], [at(1, 2, 2, "Created"), at(1, 3, 3, "Running")]],
+    "no reason": [[at(1, 1, 1, "Running", None)], [at(1, 2, 2, "Running", None), at(1, 3, 3, "Running", "")]],
+}
+
+
+@pytest.mark.parametrize("name", LATE)
+def test_late_reports_give_the_fold(spark, tmp_path, name):
+    source, files = str(tmp_path / "in"), LATE[name]
+    arrive(spark, source, files)
+    every = {r for f in files for r in f}
+    assert as_dict(run(spark, source, str(tmp_path / "work"))) == folded(every)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_files_in_any_order_give_the_fold(spark, tmp_path, seed):
+    """Reports dealt to files at random, a hot object sliced, one base on the way."""
+    data = reports(seed, 400)
+    rng = random.Random(seed)
+    files = [[] for _ in range(5)]
+    for r in data:
+        files[rng.randrange(5)].append(r)
+    source, work = str(tmp_path / "in"), str(tmp_path / "work")
+    arrive(spark, source, files)
+    assert as_dict(run(spark, source, work, every=2)) == folded(data)
+
+
+def test_batches_and_a_restart_give_the_fold(spark, tmp_path):
+    """Rows are out of order within each file; the stream is started anew halfway."""
     data = reports(5, 600)
     source, work = str(tmp_path / "in"), str(tmp_path / "work")
     for files in (range(3), range(3, 6)):
         for i in files:
             write_file(spark, source, i, data[i * 100 : (i + 1) * 100], SCHEMA)
-        latest = run(rocks, source, work)
-    assert as_dict(latest) == folded(data)
-    summaries = feeds.read_batches(rocks, f"{work}/summaries", "obj bigint")
-    assert summaries.select("batch").distinct().count() == 6
-
+        lists = run(spark, source, work)
+    assert as_dict(lists) == folded(data)
 
-@pytest.mark.parametrize("size", [2, 15])
-def test_any_cut_into_batches_gives_the_fold(spark, rocks, tmp_path, size):
-    """Short batches: most logs continue the one before."""
-    data = [(o % 2, *rest) for o, *rest in reports(size, 6 * size)]
-    source = str(tmp_path / "in")
-    for i in range(6):
-        write_file(spark, source, i, data[i * size : (i + 1) * size], SCHEMA)
-    assert as_dict(run(rocks, source, str(tmp_path / "work"))) == folded(data)
 
+def test_a_batch_run_again_counts_once(spark, tmp_path):
+    """The last batch is run again after its table was written, as after a crash before its commit."""
+    import glob
+    import os
 
-def test_a_summary_written_twice_counts_once(spark, rocks, tmp_path):
-    """A repeated batch replaces its files under new names, which the next hop sees again."""
-    data = reports(9, 200)
+    data = reports(9, 300)
     source, work = str(tmp_path / "in"), str(tmp_path / "work")
-    for i in range(2):
-        write_file(spark, source, i, data[i * 100 : (i + 1) * 100], SCHEMA)
-    run(rocks, source, work)
-    again = spark.read.parquet(f"{work}/summaries/batch=0").collect()
-    schema = spark.read.parquet(f"{work}/summaries/batch=0").schema
-    spark.createDataFrame(again, schema).write.mode("append").parquet(f"{work}/summaries/batch=0")
-    assert as_dict(run(rocks, source, work)) == folded(data)
+    arrive(spark, source, [data[i * 100 : (i + 1) * 100] for i in range(3)])
+    want = as_dict(run(spark, source, work, every=2))
+    for name in glob.glob(f"{work}/checkpoint/commits/*2") + glob.glob(f"{work}/checkpoint/commits/.2.crc"):
+        os.remove(name)
+    assert as_dict(run(spark, source, work, every=2)) == want == folded(data)
 
 
-def test_unknown_type_stops_the_stream(spark, rocks, tmp_path):
+def test_unknown_type_stops_the_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     write_file(spark, source, 0, [(1, START, 0, "Sleeping", "a", "")], SCHEMA)
     with pytest.raises(Exception, match="unknown condition type"):
-        run(rocks, source, str(tmp_path / "work"))
+        run(spark, source, str(tmp_path / "work"))
+
+
+def test_a_keyed_table_reads_few_folders(spark, tmp_path):
+    """After any number of batches: one base and fewer deltas than make a new one."""
+    table = KeyedTable(str(tmp_path / "table"), ["k"], buckets=2, every=4)
+    want = {}
+    for batch in range(23):
+        new = {k: (batch, k % 5 == batch % 5) for k in range(batch, batch + 6)}
+        want = {k: v for k, v in {**want, **{k: b for k, (b, _) in new.items()}}.items() if not new.get(k, (0, False))[1]}
+        rows_ = [(k, b, gone) for k, (b, gone) in new.items()]
+        table.write(spark.createDataFrame(rows_, "k int, v int, _gone boolean"), batch)
+        table.compact(spark, batch)
+        assert len(table._folders(spark, None)) <= 5
+        if batch % 6 == 0:
+            assert {r.k: r.v for r in table.read(spark).collect()} == want
+    assert len(table._batches(spark, "base")) <= 2 and len(table._batches(spark, "delta")) <= 8
+    assert {r.k: r.v for b in (0, 1) for r in table.read(spark, buckets=[b]).collect()} == want
 
 
 FEED = (
