@@ -23,6 +23,7 @@ from muster.operators.settings import layered_settings, spec_settings  # noqa: E
 from muster.operators.timeline import condition_lists, condition_rows  # noqa: E402
 from muster.plans.slices import MIN_ROWS, with_previous  # noqa: E402
 from muster.session import shared_folder  # noqa: E402
+from muster.sources.index import ObjectIndex  # noqa: E402
 from muster.sources.objects import get_object, list_objects  # noqa: E402
 from muster.sources.sinks import write_lines, write_lines_if_absent  # noqa: E402
 from muster.sources.text import read_lines  # noqa: E402
@@ -173,6 +174,40 @@ def object_lookup(spark, sf_dir):
     return found.withColumnsRenamed({"namespace": "c_mktsegment", "name": "c_name"})
 
 
+def _object_index(spark, objects: DataFrame, key: list[str]) -> ObjectIndex:
+    index = ObjectIndex(shared_folder(spark, "index"), tuple(key))
+    index.write(objects)
+    return index
+
+
+@query("select doc_id, lang, source from documents where lang = 'fr' and source = 'src3' and doc_id % 40 = 3")
+def label_index_select(spark, sf_dir):
+    """A selector of three pairs through the index of labels, from its rarest pair on."""
+    labels = {"lang": F.col("lang"), "source": F.col("source"), "shard": (F.col("doc_id") % 40).cast("string")}
+    objects = table(spark, sf_dir, "documents").select(
+        F.lit("default").alias("namespace"),
+        F.col("doc_id").cast("string").alias("name"),
+        "doc_id",
+        "lang",
+        "source",
+        F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), v)]).alias("labels"),
+    )
+    index = _object_index(spark, objects.where("lang is not null and source is not null"), ["namespace", "name"])
+    found = index.select(spark, "default", {"lang": "fr", "source": "src3", "shard": "3"})
+    return found.select("doc_id", "lang", "source")
+
+
+@query("""
+    select c_mktsegment, c_name, c_custkey from customer
+    where c_mktsegment = 'MACHINERY' and c_name = 'Customer#000000001'""")
+def object_lookup_bucketed(spark, sf_dir):
+    """The same object from the one bucket that it lies in."""
+    segment = F.create_map(F.lit("segment"), "c_mktsegment").alias("labels")
+    customers = table(spark, sf_dir, "customer").select("c_mktsegment", "c_name", "c_custkey", segment)
+    index = _object_index(spark, customers, ["c_mktsegment", "c_name"])
+    return index.get(spark, "MACHINERY", "Customer#000000001").drop("labels")
+
+
 @query("""
     select o_orderkey, c_custkey, c_custkey * 10 as uid
     from orders join customer on o_custkey = c_custkey

@@ -54,24 +54,33 @@ class KeyedTable:
         self, spark: SparkSession, before: int | None = None, buckets: Iterable[int] | None = None
     ) -> DataFrame | None:
         """The current rows, or those before a batch, of all or some buckets; None if there
-        has been no batch."""
+        are no rows."""
         rows = self._rows(spark, before, buckets)
         return None if rows is None else self._present(rows)
 
     def _rows(self, spark: SparkSession, before: int | None, buckets: Iterable[int] | None) -> DataFrame | None:
-        out, folders = None, self._folders(spark, before)
-        for kind, batch in folders:
-            rows = spark.read.parquet(f"{self.path}/{kind}/batch={batch}")
+        out, read = None, 0
+        for kind, batch in self._folders(spark, before):
+            if not self.has_rows(spark, kind, batch):
+                continue
+            rows, read = spark.read.parquet(f"{self.path}/{kind}/batch={batch}"), read + 1
             if buckets is not None:
                 rows = rows.where(F.col(BUCKET).isin(*buckets))
             rows = rows.drop(BUCKET).withColumn("_batch", F.lit(batch))
             out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-        if len(folders) < 2:
+        if read < 2:
             return None if out is None else out.drop("_batch")
         more = [c for c in out.columns if c not in (*self.keys, "_batch")]
+        if not more:
+            return out.select(*self.keys).distinct()
         newest = out.groupBy(*self.keys).agg(F.max_by(F.struct(*more), "_batch").alias("_row"))
         return newest.select(*self.keys, "_row.*")
 
+    def has_rows(self, spark: SparkSession, kind: str, batch: int) -> bool:
+        """Whether a ``delta`` or ``base`` holds any rows."""
+        folders = files.names(spark, f"{self.path}/{kind}/batch={batch}")
+        return any(n.startswith(f"{BUCKET}=") for n in folders)
+
     @staticmethod
     def _present(rows: DataFrame) -> DataFrame:
         if GONE not in rows.columns:
@@ -83,7 +92,7 @@ class KeyedTable:
         self._put(rows, "delta", batch)
 
     def _put(self, rows: DataFrame, kind: str, batch: int) -> None:
-        placed = rows.withColumn(BUCKET, self.bucket()).repartition(BUCKET)
+        placed = rows.withColumn(BUCKET, self.bucket()).hint("rebalance", BUCKET)
         placed.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/{kind}/batch={batch}")
 
     def compact(self, spark: SparkSession, batch: int) -> bool:
@@ -94,7 +103,10 @@ class KeyedTable:
         folders = self._folders(spark, batch + 1)
         if sum(kind == "delta" for kind, _ in folders) < self.every:
             return False
-        self._put(self._present(self._rows(spark, batch + 1, None)), "base", batch)
+        rows = self._rows(spark, batch + 1, None)
+        if rows is None:
+            return False
+        self._put(self._present(rows), "base", batch)
         kept = [b for kind, b in folders if kind == "base"]
         for kind in ("base", "delta"):
             for old in self._batches(spark, kind):

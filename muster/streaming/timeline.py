@@ -83,6 +83,8 @@ def maintain_conditions(
         rows.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{log}/batch={number}")
         rows = spark.read.schema(rows.schema).parquet(f"{log}/batch={number}")
         touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]
+        if not touched:
+            return
         state = table.read(spark, number, touched)
         fresh = summaries(rows.drop(BUCKET))
         if state is None:
@@ -132,8 +134,8 @@ def current_conditions(
 ) -> DataFrame:
     """``(*keys, conditions)``: the list of every object reported so far, as
     :func:`muster.operators.timeline.condition_lists` gives for all reports at once. Before the
-    first micro-batch there is no table, which is an error."""
+    first report there is no table, which is an error."""
     state = _table(path, keys).read(spark)
     if state is None:
-        raise ValueError(f"no batch has been written under {path}")
+        raise ValueError(f"no report has been read into {path}")
     return listed(state, keys, reconfiguring, running)
