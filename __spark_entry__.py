@@ -10,6 +10,8 @@ import sys
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from muster.functions import conditions as conds  # noqa: E402
 from muster.functions.labels import entries  # noqa: E402
 from muster.operators import changes, claims, estimate, ownership, replicas, rules, words  # noqa: E402
+from muster.operators.jobs import Job  # noqa: E402
 from muster.operators.lifecycle import lifecycles  # noqa: E402
 from muster.operators.settings import layered_settings, spec_settings  # noqa: E402
 from muster.operators.timeline import condition_lists, condition_rows  # noqa: E402
@@ -84,6 +87,22 @@ def word_count(spark, sf_dir):
     return words.word_count(table(spark, sf_dir, "documents"), "text")
 
 
+@query(f"select word, count(*) as n from ({WORDS}) where word <> '' group by word")
+def user_word_count(spark, sf_dir):
+    """The same by a mapper and a combiner of the user's, in Python over Arrow tables."""
+
+    def words_of(batch: pa.RecordBatch) -> pa.Table:
+        found = pc.list_flatten(pc.split_pattern_regex(batch["text"].cast(pa.large_string()), "[ \\t\\n\\r\\f]+"))
+        found = found.filter(pc.not_equal(found, ""))
+        return pa.table({"word": found, "n": pa.repeat(pa.scalar(1, pa.int64()), len(found))})
+
+    def total(table: pa.Table) -> pa.Table:
+        return table.group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+    job = Job(words_of, ["word"], "word string, n bigint", total)
+    return job.run(table(spark, sf_dir, "documents").select("text"))
+
+
 @query(f"select lang, word, count(*) as n from ({WORDS}) where word <> '' group by lang, word")
 def merged_counts(spark, sf_dir):
     """Counts taken per source, then added up per language."""
