@@ -31,7 +31,10 @@ from muster.sources.objects import get_object, list_objects  # noqa: E402
 from muster.sources.sinks import write_lines, write_lines_if_absent  # noqa: E402
 from muster.sources.text import read_lines  # noqa: E402
 from muster.streaming import feed as feeds  # noqa: E402
+from muster.streaming import ledger  # noqa: E402
 from muster.streaming import timeline as streams  # noqa: E402
+from muster.streaming.keyed import KeyedTable  # noqa: E402
+from muster.streaming.versions import maintain_previous, read_previous  # noqa: E402
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1107,6 +1110,111 @@ def owner_fan_in_stream(spark, sf_dir):
     return found.select("kind", "name").distinct()
 
 
+def _arriving(spark, pieces, start):
+    """Runs a stream once for each piece of its input, as the piece arrives; ``start`` gets the
+    stream and returns its query, which goes on from where the last one ended."""
+    folder = shared_folder(spark, "arriving")
+    for piece in pieces:
+        piece.write.mode("append").parquet(folder)
+        start(spark.readStream.schema(piece.schema).parquet(folder)).awaitTermination()
+
+
+@query(RELEVANT_SQL)
+def feed_once_stream(spark, sf_dir):
+    """The filter on a feed whose changes come again one batch and two batches later."""
+    events = table(spark, sf_dir, "events")
+    early = F.col("user_id") % 2 == 0
+    replayed = events.where(early & (F.col("event_id") % 5 == 0))
+    pieces = [events.where(early), events.where(~early).unionByName(replayed), events.where(F.col("event_id") % 3 == 0)]
+    path, checkpoint = shared_folder(spark, "once"), shared_folder(spark, "checkpoint")
+    owners = _owners(spark, sf_dir)
+
+    def relevant(batch):
+        return changes.relevant_changes(batch, owners).select("event_id", "op", "kind")
+
+    _arriving(spark, pieces, lambda s: ledger.write_once(_feed(s), ["name", "rv_new"], path, checkpoint, relevant))
+    return feeds.read_batches(spark, f"{path}/rows", "event_id BIGINT, op STRING, kind STRING").drop("batch")
+
+
+@query(CHANGED_SQL)
+def changed_fields_stream(spark, sf_dir):
+    """Changed fields of versions that come in four batches, not in their order."""
+    state = F.create_map(F.lit("type"), F.col("event_type"), F.lit("group"), (_k() % 4).cast("string"))
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    versions = events.select("event_id", "ts", "user_id", "event_type", state.alias("labels"))
+    path, checkpoint = shared_folder(spark, "versions"), shared_folder(spark, "checkpoint")
+    keys, order = ["user_id"], ["ts", "event_id"]
+    pieces = [versions.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == i) for i in range(4)]
+    _arriving(
+        spark, pieces,
+        lambda s: maintain_previous(s, keys, order, ["event_type", "labels"], path, checkpoint),
+    )
+    return _changed_fields(read_previous(spark, path, keys, order))
+
+
+@query(f"select o_orderkey, role, active from ({ACTIVE_SQL})")
+def active_replicas_stream(spark, sf_dir):
+    """Replica counts kept from a feed: objects are born under a wrong owner, in a wrong role or
+    not ready, and mended later; others are born, replaced and deleted."""
+    objects = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("owner"),
+        F.col("l_returnflag").alias("role"),
+        F.when(F.col("l_linestatus") == "O", "True").otherwise("False").alias("ready"),
+        F.when(F.col("l_quantity") < 5, F.col("l_shipdate")).alias("deleted_at"),
+        (F.col("l_partkey") % 5).alias("k"),
+        (F.col("l_suppkey") % 3).alias("g"),
+    )
+
+    def state(owner, role, phase, ready, deleted_at):
+        conditions = F.array(F.struct(F.lit("Ready").alias("type"), ready.alias("status")))
+        units = replicas.active_units(phase, conditions, deleted_at)
+        return F.struct(owner.alias("owner"), role.alias("role"), units.alias("active"))
+
+    k, running = F.col("k"), F.lit("Running")
+    now = state(F.col("owner"), F.col("role"), running, F.col("ready"), F.col("deleted_at"))
+    born = state(
+        F.when(k == 1, F.col("owner") + 1).otherwise(F.col("owner")),
+        F.when(k == 2, "N").otherwise(F.col("role")),
+        F.when(k == 3, "Pending").otherwise(running),
+        F.when(k == 4, "False").otherwise(F.col("ready")),
+        F.col("deleted_at"),
+    )
+    alive = state(F.col("owner"), F.col("role"), running, F.lit("True"), F.lit(None).cast("date"))
+    none = F.lit(None).cast(objects.select(born).schema[0].dataType)
+    ghosts = objects.where("g = 0")
+    change = lambda rows, old, new: rows.select(old.alias("old"), new.alias("new"))
+    pieces = [
+        change(objects, none, born).unionByName(change(ghosts, none, alive)),
+        change(objects.where("k > 0 and k < 3"), born, now),
+        change(objects.where("k >= 3"), born, now).unionByName(change(ghosts, alive, none)),
+    ]
+    path, checkpoint = shared_folder(spark, "counts"), shared_folder(spark, "checkpoint")
+    keys = {c: (F.col(f"old.{c}"), F.col(f"new.{c}")) for c in ("owner", "role")}
+    counts = F.col("old.active"), F.col("new.active")
+    _arriving(spark, pieces, lambda s: ledger.keep_counts(s, keys, counts, path, checkpoint))
+    kept = KeyedTable(path, ("owner", "role")).read(spark)
+    roles = _orders(spark, sf_dir).select("o_orderkey", F.explode(F.array(*map(F.lit, FLAGS))).alias("role"))
+    if kept is None:
+        return roles.withColumn("active", F.lit(0).cast("long"))
+    kept = kept.select(F.col("owner").alias("o_orderkey"), "role", F.col("n").alias("active"))
+    return roles.join(kept, ["o_orderkey", "role"], "left").withColumn("active", F.coalesce("active", F.lit(0)))
+
+
+@query("""
+    select o_orderkey, case when o_orderkey % 10 = 0 then 'X' else o_orderstatus end as status,
+           case when o_orderkey % 10 = 0 then 2 else 1 end::BIGINT as writes
+    from orders""")
+def status_write_back(spark, sf_dir):
+    """Statuses written three times: all, the same again, and with a tenth of them changed."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    target = KeyedTable(shared_folder(spark, "status"), ("o_orderkey",))
+    changed = F.when(F.col("o_orderkey") % 10 == 0, "X").otherwise(F.col("o_orderstatus"))
+    for number, rows in enumerate((orders, orders, orders.withColumn("o_orderstatus", changed))):
+        ledger.write_differing(target, rows.withColumnRenamed("o_orderstatus", "status"), number)
+    writes = spark.read.parquet(f"{target.path}/delta").groupBy("o_orderkey").agg(F.count("*").alias("writes"))
+    return target.read(spark).join(writes, "o_orderkey")
+
+
 # --- Training-data operators, where their subpackage is installed -----------------------------
 
 try:

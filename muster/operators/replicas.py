@@ -35,6 +35,14 @@ def _with_counters(
     return owners.join(counted, list(on), "left").withColumns(zero)
 
 
+def active_units(phase: Column, conditions: Column, deleted_at: Column) -> Column:
+    """What one object adds to its owner's count: 1 per Ready=True condition while it is
+    Running and not being deleted, else 0."""
+    ready = F.filter(conditions, lambda c: (c["type"] == "Ready") & (c["status"] == "True"))
+    counts = (phase == "Running") & deleted_at.isNull() & conditions.isNotNull()
+    return F.when(counts, F.size(ready)).otherwise(0)
+
+
 def active_replicas(
     owners: DataFrame,
     objects: DataFrame,
