@@ -12,7 +12,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -21,8 +21,8 @@ from muster.functions import conditions as conds  # noqa: E402
 from muster.functions.labels import entries  # noqa: E402
 from muster.operators import changes, claims, estimate, ownership, replicas, rules, words  # noqa: E402
 from muster.operators.jobs import Job  # noqa: E402
-from muster.operators.lifecycle import lifecycles  # noqa: E402
-from muster.operators.settings import layered_settings, spec_settings  # noqa: E402
+from muster.operators.lifecycle import lifecycles, phase_condition  # noqa: E402
+from muster.operators.settings import Setting, layered_settings, sorted_settings, spec_settings  # noqa: E402
 from muster.operators.timeline import condition_lists, condition_rows  # noqa: E402
 from muster.plans.slices import MIN_ROWS, with_previous  # noqa: E402
 from muster.session import shared_folder  # noqa: E402
@@ -470,6 +470,27 @@ def active_replicas(spark, sf_dir):
     return _active(spark, sf_dir).select("o_orderkey", "role", "active")
 
 
+@query("""
+    select o_orderkey, role, coalesce(n, 0)::BIGINT as active
+    from orders cross join (select unnest(['R', 'A', 'N']) as role)
+    left join (select l_orderkey, l_returnflag, sum(1 + (l_suppkey % 4 = 0)::INTEGER) as n from lineitem
+               where l_linestatus = 'O' and l_quantity >= 5 and l_partkey % 3 = 0 and l_suppkey % 5 > 0 group by all)
+        on l_orderkey = o_orderkey and l_returnflag = role""")
+def active_replicas_of_phases(spark, sf_dir):
+    """Objects of three phases, some without conditions and some with two that are Ready."""
+    part, supplier = F.col("l_partkey"), F.col("l_suppkey")
+    ready = F.struct(F.lit("Ready").alias("type"), F.when(F.col("l_linestatus") == "O", "True").otherwise("Unknown").alias("status"))
+    objects = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"),
+        F.col("l_returnflag").alias("role"),
+        F.when(part % 3 == 0, "Running").when(part % 3 == 1, "Pending").alias("phase"),
+        F.when(supplier % 5 > 0, F.when(supplier % 4 == 0, F.array(ready, ready)).otherwise(F.array(ready))).alias("conditions"),
+        F.when(F.col("l_quantity") < 5, F.col("l_shipdate")).alias("deleted_at"),
+    )
+    found = replicas.active_replicas(_orders(spark, sf_dir), objects, ["o_orderkey"], FLAGS)
+    return found.select("o_orderkey", "role", "active")
+
+
 @query(f"""
     select o_orderkey, bool_and(ready) as replicas_ready,
            any_value(o_totalprice) >= 1000 as configured,
@@ -563,37 +584,51 @@ REPORT_SQL = r"""
            (regexp_extract(props, '(\d+)', 1)::INTEGER % 2)::VARCHAR as reason
     from events"""
 
-TIMELINE_SQL = f"""
-    with reports as ({REPORT_SQL}),
+def _timeline_sql(reports: str, key: str, removes: str) -> str:
+    """The rules as SQL; ``removes`` tells when a later type r removes an earlier one l."""
+    return f"""
+    with reports as ({reports}),
     marked as (
         select *, lag(type) over w is distinct from type as starts,
                lag(type) over w is distinct from type
                    or lag(reason) over w is distinct from reason as counts
-        from reports window w as (partition by user_id order by ts, event_id)),
+        from reports window w as (partition by {key} order by ts, event_id)),
     islands as (
         select *, sum(starts::INTEGER) over (
-            partition by user_id order by ts, event_id) as island
+            partition by {key} order by ts, event_id) as island
         from marked),
     kept as (
-        select *, min(ts) over (partition by user_id, island) as since from islands),
+        select *, min(ts) over (partition by {key}, island) as since from islands),
     latest as (
         select * from kept where counts
-        qualify row_number() over (partition by user_id, type order by ts desc, event_id desc) = 1),
+        qualify row_number() over (partition by {key}, type order by ts desc, event_id desc) = 1),
     present as (
         select * from latest l
-        where type <> 'Running' or not exists (
-            select 1 from latest r where r.user_id = l.user_id and r.type = 'Reconfiguring'
+        where not exists (
+            select 1 from latest r where r.{key} = l.{key} and {removes}
                 and (r.ts, r.event_id) > (l.ts, l.event_id)))
-    select user_id,
-           row_number() over (partition by user_id order by ts, event_id)::INTEGER as position,
+    select {key},
+           row_number() over (partition by {key} order by ts, event_id)::INTEGER as position,
            type,
            case when row_number() over (
-                    partition by user_id order by ts desc, event_id desc) = 1
+                    partition by {key} order by ts desc, event_id desc) = 1
                 then 'True' else 'False' end as status,
            reason, ts as last_update, since as last_transition
     from present"""
 
 
+TIMELINE_SQL = _timeline_sql(REPORT_SQL, "user_id", "r.type = 'Reconfiguring' and l.type = 'Running'")
+
+APP_REPORT_SQL = r"""
+    select user_id * 4 + k % 4 as app, ts, event_id,
+           case event_type when 'signup' then 'Created' when 'error' then 'Failed' when 'purchase' then 'Succeeded'
+                when 'view' then ['DataLoading', 'Submitted'][k // 4 % 2 + 1] else 'Running' end as type,
+           case when k % 5 <> 0 then (k % 3)::VARCHAR end as reason
+    from (select *, regexp_extract(props, '(\d+)', 1)::INTEGER as k from events)"""
+
+APP_TIMELINE_SQL = _timeline_sql(APP_REPORT_SQL, "app", "false")
+
+
 def _k(props: str = "props"):
     return F.regexp_extract(props, r"(\d+)", 1).cast("int")
 
@@ -678,6 +713,66 @@ def condition_predicates(spark, sf_dir):
     )
 
 
+def _app_lists(spark, sf_dir):
+    event, k = F.col("event_type"), F.col("k")
+    loading = F.when(F.floor(k / 4) % 2 == 0, "DataLoading").otherwise("Submitted")
+    kind = (
+        F.when(event == "signup", "Created").when(event == "error", "Failed").when(event == "purchase", "Succeeded")
+        .when(event == "view", loading).otherwise("Running")
+    )
+    reports = table(spark, sf_dir, "events").withColumn("k", _k()).select(
+        (F.col("user_id") * 4 + k % 4).alias("app"), "ts", "event_id", kind.alias("type"),
+        F.when(k % 5 != 0, (k % 3).cast("string")).alias("reason"),
+    )
+    return condition_lists(reports, ["app"], ["ts", "event_id"], conds.APPLICATION_TYPES, reconfiguring=None)
+
+
+@query(APP_TIMELINE_SQL)
+def application_timeline(spark, sf_dir):
+    """Applications: six types, none of which removes another."""
+    return condition_rows(_app_lists(spark, sf_dir), ["app"]).drop("message")
+
+
+@query(f"""
+    with rows as ({APP_TIMELINE_SQL})
+    select app, bool_or(type = 'Created' and status = 'True') as is_created,
+           bool_or(type = 'Submitted' and status = 'True') as is_submitted,
+           bool_or(type = 'Running' and status = 'True') as is_running,
+           bool_or(type in ('Succeeded', 'Failed') and status = 'True') as is_finished,
+           any_value(type) filter (where status = 'True') as current_type
+    from rows group by app""")
+def application_predicates(spark, sf_dir):
+    c = F.col("conditions")
+    return _app_lists(spark, sf_dir).select(
+        "app",
+        conds.is_created(c).alias("is_created"),
+        conds.is_submitted(c).alias("is_submitted"),
+        conds.is_running(c).alias("is_running"),
+        conds.is_finished(c).alias("is_finished"),
+        conds.current_type(c).alias("current_type"),
+    )
+
+
+@query(r"""
+    select event_id,
+           case when phase = 'Running' and ready and not running then 'Running'
+                when phase in ('Succeeded', 'Failed') then phase end as reported
+    from (
+        select event_id, k % 2 = 0 as running, case when k % 3 > 0 then k % 3 = 1 end as ready,
+               case event_type when 'purchase' then 'Succeeded' when 'error' then 'Failed'
+                    when 'signup' then 'Pending' else 'Running' end as phase
+        from (select *, regexp_extract(props, '(\d+)', 1)::INTEGER as k from events))""")
+def driver_conditions(spark, sf_dir):
+    """The condition that each phase of a driver reports, if any."""
+    event, k = F.col("event_type"), _k()
+    phase = (
+        F.when(event == "purchase", "Succeeded").when(event == "error", "Failed")
+        .when(event == "signup", "Pending").otherwise("Running")
+    )
+    reported = phase_condition(phase, F.when(k % 3 > 0, k % 3 == 1), k % 2 == 0)
+    return table(spark, sf_dir, "events").select("event_id", reported.alias("reported"))
+
+
 @query(r"""
     with phases as (
         select user_id, regexp_extract(props, '(\d+)', 1)::INTEGER as run, ts, event_id,
@@ -928,6 +1023,46 @@ def settings_layers(spark, sf_dir):
     return layered_settings(clusters, ["c_custkey"], DEFAULTS, spec_settings(spec))
 
 
+SORTED_SQL = [
+    *LAYERS_SQL[:-3],
+    ("hdfs-site.xml", "dfs.blocksize", "c_nationkey > 10", "(c_nationkey - 10)::VARCHAR"),
+    ("hdfs-site.xml", "dfs.datanode.data.dir", "c_custkey % 3 = 0", "'/disk/' || c_custkey % 3"),
+    ("hdfs-site.xml", "dfs.replication", "c_custkey % 2 = 0", "'3'"),
+]
+
+
+@query(
+    "with layers as ("
+    + " union all ".join(
+        f"select c_custkey, {i} as layer, '{f}' as file, '{n}' as name, {v} as value "
+        f"from customer where {w}"
+        for i, (f, n, w, v) in enumerate(SORTED_SQL)
+    )
+    + """)
+    select c_custkey, file, name, value,
+           row_number() over (partition by c_custkey, file order by name, layer)::INTEGER as place
+    from layers"""
+)
+def settings_sorted(spark, sf_dir):
+    """Settings by name within a file; a name that comes again keeps the order of its layers."""
+    clusters, custkey = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    segment = F.when(F.col("c_mktsegment") == "BUILDING", F.concat(F.lit("/data/"), F.col("c_name"))).otherwise("")
+    spec = {
+        "log_aggregation": F.col("c_nationkey") % 2 == 0,
+        "retain_seconds": F.lit(rules.DEFAULT_RETAIN_SECONDS),
+        "name_dir": segment,
+        "block_size": F.col("c_nationkey") - 10,
+        "data_dir": F.when(custkey % 3 == 0, F.concat(F.lit("/disk/"), (custkey % 3).cast("string"))).otherwise(""),
+        "cpu": F.lit(0.0),
+        "memory": F.lit(0),
+    }
+    again = Setting("hdfs-site.xml", "dfs.replication", F.when(custkey % 2 == 0, F.lit("3")))
+    rows = layered_settings(clusters, ["c_custkey"], DEFAULTS, [*spec_settings(spec), again])
+    rows = sorted_settings(rows, ["c_custkey"])
+    place = F.row_number().over(Window.partitionBy("c_custkey", "file").orderBy("name", "position"))
+    return rows.select("c_custkey", "file", "name", "value", place.alias("place"))
+
+
 @query("""
     select o_orderkey, case when o_orderkey % 7 <> 0 then o_custkey % 3 end as live,
            o_orderkey % 7 <> 0 and o_custkey % 3 > 0 as ready
@@ -1036,6 +1171,38 @@ def feed_filter_stream(spark, sf_dir):
     return feeds.read_batches(spark, target, relevant.schema).drop("batch").distinct()
 
 
+KINDS_SQL = f"""
+    with feed as (
+        select event_id, op, kind, role, rv_old, rv_new, k, new_uid, old_uid,
+               k % 5 <> 1 as controls, case when k % 9 = 0 then 'Application' else 'Cluster' end as owner_kind,
+               case when controls then new_uid end as new_ref, old_uid as old_ref
+        from ({FEED_SQL}) join (select event_id, regexp_extract(props, '(\\d+)', 1)::INTEGER as k from events) using (event_id)),
+    owners as (select c_custkey * 10 as uid, case when c_custkey % 9 = 0 then 'Application' else 'Cluster' end as kind from customer)
+    select event_id, op, kind from feed
+    where op = 'update' and rv_old <> rv_new and kind <> 'Secret'
+        and ((new_ref, owner_kind) in (select (uid, kind) from owners)
+             or ((old_ref is distinct from new_ref or owner_kind <> 'Cluster')
+                 and coalesce(case when new_ref is not null then owner_kind end, 'Cluster') = 'Cluster'
+                 and (old_ref, 'Cluster') in (select (uid, kind) from owners)))"""
+
+
+@query(KINDS_SQL)
+def feed_filter_of_kinds(spark, sf_dir):
+    """Updates whose owner is of two kinds, and not always the controller."""
+    def owner(ref, kind, controls):
+        fields = {"kind": kind, "name": ref["name"], "uid": ref["uid"], "controller": controls}
+        return F.when(ref.isNotNull(), F.struct(*[c.alias(n) for n, c in fields.items()]))
+
+    k = _k()
+    kind = F.when(k % 9 == 0, "Application").otherwise("Cluster")
+    events = table(spark, sf_dir, "events")
+    marks = events.select(F.col("event_id").alias("_id"), (k % 5 != 1).alias("_controls"), kind.alias("_kind"))
+    feed = _feed(events).where("op = 'update'").join(marks, F.col("event_id") == F.col("_id"))
+    feed = feed.withColumn("new_owner", owner(F.col("new_owner"), F.col("_kind"), F.col("_controls"))).drop("_id", "_controls", "_kind")
+    owners = _owners(spark, sf_dir).withColumn("kind", F.when(F.col("name").cast("long") % 9 == 0, "Application").otherwise("Cluster"))
+    return changes.relevant_updates(feed, owners).select("event_id", "op", "kind")
+
+
 CHANGED_SQL = r"""
     with log as (
         select *, lag(event_type) over w as old_type, lag(k) over w as old_k,
