@@ -206,6 +206,55 @@ def test_license_notices(spark, odd):
     assert licenses.scan(odd).count() == 0
 
 
+def test_what_a_template_saves_decides(monkeypatch):
+    """Two templates differ by less than either may: the one that saves more is confirmed."""
+    known = licenses.templates(licenses.TEMPLATES)
+    named = {t.name: t for t in known}
+    for mine, other in (("GPL-3.0 header", "GPL-2.0 header"), ("AGPL-3.0 header", "LGPL-3.0 header"), ("BSD-3-Clause", "BSD-3-Clause")):
+        text = "some words before it " + licenses.TEMPLATES[mine] + " and some after it"
+        words = licenses._WORD.findall(text.lower())
+        _, _, missing, added = licenses.differences(named[other].words, words)
+        assert missing + added <= 0.1 * len(named[other].words)
+        assert [x[0] for x in licenses.find_licenses(text, known)] == [mine]
+    # Without compression the order of the templates would decide.
+    monkeypatch.setattr(licenses, "saved", lambda block, known: [0] * len(known))
+    wrong = [licenses.find_licenses(licenses.TEMPLATES[n], known)[0][0] == n for n in ("GPL-2.0 header", "AGPL-3.0 header", "GPL-3.0 header", "LGPL-3.0 header")]
+    assert not all(wrong)
+
+
+def plain_inexact(words, known, different=0.1):
+    """Whether any run of words, of whatever length, has a template's wording but for a tenth."""
+    out = set()
+    for t in known:
+        n, most = len(t.words), int(different * len(t.words))
+        for a in range(len(words)):
+            for m in range(max(1, n - most), n + most + 1):
+                begin, end, missing, added = licenses.differences(t.words, words[a : a + m])
+                if end > begin and missing + added <= most:
+                    out.add(t.name)
+    return out
+
+
+def test_inexact_notices(spark):
+    """Words dropped, changed or added at random, against a look at every run of words."""
+    rng = np.random.default_rng(5)
+    short = {n: licenses.TEMPLATES[n] for n in ("Unlicense", "GPL-3.0 notice", "MIT notice", "CC0-1.0 notice")}
+    known, hits = licenses.templates(short), 0
+    for _ in range(60):
+        words = licenses._WORD.findall(list(short.values())[rng.integers(len(short))].lower())
+        for _ in range(rng.integers(0, 4)):
+            at = int(rng.integers(len(words)))
+            words[at : at + int(rng.integers(2))] = ["other"] * int(rng.integers(2))
+        words = ["before", "it", *words, "after"]
+        got = {x[0] for x in licenses.find_licenses(" ".join(words), known)}
+        assert got == plain_inexact(words, known)
+        hits += bool(got)
+    assert 20 < hits < 60
+    text = "This is free and software released into the public domain."
+    rows = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(r.license, r.missing) for r in rows] == [("Unlicense", 1)]
+
+
 def plain_notices(words, known):
     """All places where a template's words stand, the longest template first, none twice."""
     out, taken = [], set()
