@@ -37,11 +37,12 @@ _SURNAME = {"latin": r"(?: [A-Z][a-z]{2,}\b)?", "cyrillic": r"(?: [А-Я][а-я]
 _SECRET = r"(?i:password|passwd|passphrase|pwd|secret(?:[_-](?:access[_-])?key)?|token|(?:api|access|private)[_-]?key)[\"']?\s{0,8}(?:=|:(?=\s{0,8}[\"']))\s{0,8}"
 _H = "[0-9A-Fa-f]{1,4}"
 #: Patterns by type; the first that matches at a place wins. All are linear: no nested repeats.
-#: A secret goes to its closing quote or, without quotes, to white space; of what then ends it,
-#: punctuation of the sentence is left.
+#: A secret goes to its closing quote on the same line or, if there is none, to white space; of
+#: what then ends it, punctuation of the sentence is left. A quote that follows white space or
+#: stands before a word opens another phrase and closes nothing.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "secret": _SECRET + r"(?:\"[^\"]++\"|'[^']++'|\S*[^\s\"',.;:)\]}>])",
+    "secret": _SECRET + r"(?:\"[^\"\r\n]*[^\"\s]\"(?!\w)|'[^'\r\n]*[^'\s]'(?!\w)|\S*[^\s\"',.;:)\]}>])",
     "access_key": r"\bAKIA[A-Z0-9]{16}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ipv6": rf"(?<![\w:.])(?:(?:{_H}:){{7}}{_H}|(?:{_H}(?::{_H}){{0,6}})?::{_H}(?::{_H}){{0,6}}|{_H}(?::{_H}){{1,6}}::)(?![\w:]|\.\d)",
@@ -174,7 +175,7 @@ def surrogate(entity: Column, type_: Column, attempt: Column, key: str = KEY) ->
 
     noise = _noise(key, entity, attempt.cast("string"))
     octets = [_draw(noise, F.lit(i), 223 if i == 0 else 254) + 1 for i in range(4)]
-    body = F.regexp_replace(after("^."), r"\d$", "")
+    body = F.regexp_replace(after("^(?:3[47]|2[2-7]|.)"), r"\d$", "")  # of the same issuer
     check = (10 - luhn(F.concat(body, F.lit("0"))) % 10) % 10
     name, host = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     by_host = F.concat_ws(":", attempt.cast("string"), host)

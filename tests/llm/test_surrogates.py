@@ -104,6 +104,23 @@ WHOLE = [
 ]
 
 
+#: Quotes that close nothing, and cards whose issuer's digits stay.
+REST = [
+    ('token = "abc1 and then he said "hello" to them', r'token = "\w{4} and then he said "hello" to them'),
+    ("secret = 'abc1 and\nthen it's over", r"secret = '\w{4} and\nthen it's over"),
+    ("card 3782 822463 10005 or 2221 0000 0000 0009", r"card 37\d{2} \d{6} \d{5} or 22\d{2} \d{4} \d{4} \d{4}"),
+    ('token = "two words" and "more"', r'token = "\w{3} \w{5}" and "more"'),
+]
+
+
+def test_the_rest_stays(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(REST)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in surrogates.replace_entities(spark, docs).collect()}
+    for i, (old, form) in enumerate(REST):
+        assert re.fullmatch(form, got[i]) and got[i] != old, got[i]
+    assert all(luhn(n) for n in got[2].removeprefix("card ").split(" or "))
+
+
 def test_whole_values_go(spark):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(WHOLE)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in surrogates.replace_entities(spark, docs).collect()}
