@@ -26,8 +26,9 @@ from muster.llm.common import written
 #: compared with every row, and probes are as many as find the share RECALL of their nearest.
 TABLES, PROBES = 8, 16
 SAMPLE, RECALL = 64, 0.95
-#: Rows of a bucket that are compared at once; larger buckets are cut into blocks.
-BLOCK = 4096
+#: Rows of a bucket that are compared at once, and queries that they are compared with; larger
+#: buckets are cut into blocks, and more queries into parts that meet each block.
+BLOCK, ASKED = 4096, 8192
 SEED = 7
 
 
@@ -171,8 +172,9 @@ def search(
     all buckets, so that the result is exact; else in each table, and queries that met fewer
     than k rows probe all buckets of the first. Vectors travel to their buckets once a table,
     and queries once a probe; only the k best of each meeting leave it. A bucket of any size is
-    cut into blocks of some BLOCK rows, by a hash of the id, and its queries go to each; the
-    table of bucket sizes has 2 * dimensions * tables rows for each band of lengths.
+    cut into blocks of some BLOCK rows, by a hash of the row, and its queries, in parts of some
+    ASKED, go to each; the table of bucket sizes has 2 * dimensions * tables rows for each band
+    of lengths.
     """
     named = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
     named = named.where("vec_id is not null").where(usable(F.col("v")))
@@ -213,7 +215,11 @@ def search(
     # One row for each bucket: at most 2 * dimensions * tables for each band, which no
     # number of vectors changes.
     few = F.broadcast(sizes)
-    rows = indexed.join(few, key).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    rows = indexed.join(few, key).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int"))
+    queries = named.where(F.col("vec_id") % every == 0)
+    parts = max(1, -(-queries.count() // ASKED))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
     def meet(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         found, own = [], np.empty(0, np.int64)
         if len(asked) and len(rows):
@@ -223,12 +229,13 @@ def search(
         ids, scores = (pd.Series([f[i] for f in found], dtype=object) for i in (0, 1))
         return pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores})
 
-    columns = [*key, "block"]
+    columns = [*key, "block", "part"]
 
     def pairs(queries: DataFrame, whole: bool) -> DataFrame:
         asked = queries.mapInPandas(lambda f: probe(f, whole), "d int, t int, axis int, vec_id long, v array<double>")
         asked = asked.join(few, ["d", "t", "axis"])
         asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        asked = asked.withColumn("part", F.pmod(F.hash("vec_id", "v"), F.lit(parts)))
         met = (
             asked.select(*columns, "vec_id", "v")
             .groupBy(*columns)
@@ -238,7 +245,6 @@ def search(
         out = met.select("query_id", F.explode(F.arrays_zip("vec_id", "score")).alias("x"))
         return out.select("query_id", F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
-    queries = named.where(F.col("vec_id") % every == 0)
     found = pairs(queries, False)
     if any(plan.values()):
         found = written(spark, found, "found")

@@ -328,6 +328,16 @@ def test_neighbours_of_any_table(spark, n, d, spread):
     assert hits >= 0.95 * want
 
 
+def test_neighbours_in_blocks_and_parts(spark, monkeypatch):
+    """Blocks of rows and parts of queries change nothing."""
+    x = np.random.default_rng(2).normal(size=(300, 8))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, neighbours.search(spark, frame, k=5, every=10).collect()))
+    assert len(want) == 150
+    monkeypatch.setattr(neighbours, "ASKED", 4)
+    assert sorted(map(tuple, neighbours.search(spark, frame, k=5, every=10).collect())) == want
+
+
 def test_neighbours_measure_their_probes(spark, monkeypatch):
     """With few rows to a block, probes are measured and short queries scan."""
     monkeypatch.setattr(neighbours, "BLOCK", 100)
