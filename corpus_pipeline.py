@@ -21,30 +21,41 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones among them, doesn't reject."""
+    """Documents that the classifier, fitted on the labelled ones among them, doesn't reject.
+
+    Null and empty texts are scored like a text without words. Rows without a doc_id are
+    scored, but teach nothing; repeated rows go or stay together.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.score(spark, docs.select(*COLUMNS), toxicity.train(docs, labels))
     return scored.where("toxicity < 0.5").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near duplicates."""
+    """One document, that of the smallest doc_id, of each group of near duplicates.
+
+    Rows without a doc_id come after all others, and null, empty and wordless texts are one
+    group. Of several texts under one doc_id those that are no near duplicates all stay.
+    """
     return simhash.first_of_each(spark, docs.select(*COLUMNS))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with surrogates in place of personal data."""
+    """Documents with surrogates in place of personal data; null and empty texts stay."""
     return _counted(surrogates.replace_entities(spark, docs.select(*COLUMNS)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mix reads them: a row for each time, the last one of a source cut."""
+    """Documents as the mix reads them: a row for each time, the last one of a source cut.
+
+    Documents without words, null texts among them, are in no mix. Null sources are one.
+    """
     docs = docs.select(*COLUMNS)
     return _counted(mixing.read_mix(docs, written(spark, mixing.mix(spark, docs), "mix")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences."""
+    """The pieces of packed sequences; each row is a document, whatever its doc_id."""
     return packing.pack(spark, docs)
 
 
@@ -56,8 +67,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Hash voting, a fitted classifier and tokenizing have no SQL. Tests hold the stages' columns,
-#: counts and ids; there is no row-at-a-time version of run().
+#: Hash voting, a fitted classifier and tokenizing have no SQL. Tests hold each stage against what
+#: its docstring says, on odd rows too; there is no row-at-a-time version of run().
 ORACLE_SQL = None
 
 

@@ -104,7 +104,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     may fall inside a character. Null texts count as empty, an empty text
     has no chunks. Rows equal in doc_id and text are one occurrence of each chunk's owner and
     lose nothing to each other; rows without a doc_id lose to any that has one, and not to
-    each other. No rows give no rows; extra columns are not looked at.
+    each other. No rows give no rows; extra columns are not looked at. A text of any length is
+    cut whole by one task.
     """
     rows = docs.select(whole_id(F.col("doc_id")).alias("doc_id"), F.xxhash64("text").alias("two"), F.hash("text").alias("three"), "text")
     row = ["doc_id", "two", "three"]

@@ -73,6 +73,7 @@ def mix(
     (less at most a word for each repeated row), and no document exceeds `epochs` times its
     size. Runs agree. Null sources are one source, the last in order; null doc_ids draw
     alike. No rows, or no words at all, give targets of 0. Extra columns are not looked at.
+    Of a text of any length only the number of words leaves the scan.
 
     A source's order is never sorted in one task: draws fall into 4096 slices of about
     equal rows, a small table has the words before each slice, and only slices are sorted.

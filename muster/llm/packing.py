@@ -200,7 +200,8 @@ def pack(
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A document is
     its token ids and a closing id 0, so that a null or empty text is one token; it is
     counted with that id. Repeated rows, and rows without a doc_id, are documents like any
-    other. No rows give no pieces. Other columns are not looked at.
+    other. No rows give no pieces. Other columns are not looked at. A text of any length is
+    tokenized whole by one task; its whole windows are sequences of their own.
 
     ranks_path and pattern name the vocabulary as ranks (default: the public 50k byte BPE,
     whose ids equal those of its JSON file); it has to be at the same place on every

@@ -227,7 +227,8 @@ def replace_entities(spark: SparkSession, docs: DataFrame, key: str = KEY) -> Da
 
     One surrogate stands for one entity in all documents. Texts without entities, null and
     empty ones stay as they are, with n_entities 0. Repeated rows are replaced alike. Other
-    columns stay; one of docs called n_entities is replaced.
+    columns stay; one of docs called n_entities is replaced. A text of any length is searched
+    whole, and rewritten by one task. No rows give no rows.
 
     Texts are known by two hashes, 96 bits in all, so that copies are worked on once and a
     row needs no id. An entity in very many documents is one row in the table of surrogates,

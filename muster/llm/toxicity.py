@@ -247,7 +247,8 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """docs with a column toxicity, the model's probability for each row's whole text.
 
     Null and empty texts get the score of a text without words. Repeated rows are scored
-    alike; no rows give no rows. A column of docs called toxicity is replaced.
+    alike; no rows give no rows. A column of docs called toxicity is replaced. A text of any
+    length is read whole by one task.
     """
     sent = spark.sparkContext.broadcast(model)
 
