@@ -91,12 +91,17 @@ LATE = {
 }
 
 
-@pytest.mark.parametrize("name", LATE)
-def test_late_reports_give_the_fold(spark, tmp_path, name):
-    source, files = str(tmp_path / "in"), LATE[name]
+def test_late_reports_give_the_fold(spark, tmp_path):
+    """All cases at once, each with objects of its own."""
+    source, files = str(tmp_path / "in"), [[] for _ in range(4)]
+    for case, given in enumerate(LATE.values()):
+        for number, reports_ in enumerate(given):
+            files[number] += [(10 * case + obj, *rest) for obj, *rest in reports_]
     arrive(spark, source, files)
-    every = {r for f in files for r in f}
-    assert as_dict(run(spark, source, str(tmp_path / "work"))) == folded(every)
+    got = as_dict(run(spark, source, str(tmp_path / "work")))
+    for case, (name, given) in enumerate(LATE.items()):
+        want = folded({r for f in given for r in f})
+        assert {obj: got[10 * case + obj] for obj in want} == want, name
 
 
 @pytest.mark.parametrize("seed", [1, 2])
