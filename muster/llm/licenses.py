@@ -213,7 +213,7 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, different: float
             frame["length"] = frame["end"] - frame["start"]
             yield frame.drop(columns="end")
 
-    proposed = F.col("text").rlike("(?iu)" + "|".join(words))
+    proposed = F.lower("text").rlike("(?<![a-z0-9])(?:" + "|".join(words) + ")")
     rows = docs.select(whole_id(F.col("doc_id")).alias("doc_id"), "text").where(proposed)
     schema = "doc_id long, license string, saved double, start long, length long, missing long, added long"
     return rows.mapInPandas(each, schema).withColumn("doc_id", null_id(F.col("doc_id")))
